@@ -2,13 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quaystone.llm import packing, tokenize
+from quaystone.llm import boilerplate, leakage, nearjoin, packing, splits, tokenize
 from quaystone.session import materialise
 from quaystone.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups, _ = splits.record_groups(table(spark, sf_dir, "detector_eval_finreg_v1"), table(spark, sf_dir, "source_orgs"))
+    return groups.where("group is not null").select("id", "group_org_id").distinct()
+
+
+def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.splits(table(spark, sf_dir, "detector_eval_finreg_v1"), table(spark, sf_dir, "source_orgs"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no").distinct()
+
+
+def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return boilerplate.without_lines(docs, boilerplate.repeated_lines(docs))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = {"detector_eval_finreg_v1": "premise", "controlled_candidate_cases": "query"}
+    rows = [table(spark, sf_dir, t).select(F.lit(t).alias("part"), "id", F.col(c).alias("text")) for t, c in texts.items()]
+    members, classes, pairs = nearjoin.near_duplicates(rows[0].union(rows[1]), threshold=0.7)
+    return nearjoin.id_pairs(members, classes, pairs).withColumnRenamed("part", "table_name")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "detector_eval_finreg_v1"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.token_ids(table(spark, sf_dir, "documents"))
 
