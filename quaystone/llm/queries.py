@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quaystone.llm import boilerplate, leakage, nearjoin, packing, splits, tokenize
+from quaystone.llm import boilerplate, leakage, nearjoin, ocr, packing, splits, tokenize
 from quaystone.session import materialise
 from quaystone.sources.tables import table
 
@@ -34,6 +34,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.id_pairs(members, classes, pairs).withColumnRenamed("part", "table_name")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = ocr.repaired(table(spark, sf_dir, "documents"))
+    return fixed.select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.line_no", "x.kind").distinct()
+
+
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.repaired(table(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "detector_eval_finreg_v1"))
 
