@@ -24,6 +24,8 @@ from quaystone.session import materialise
 
 #: 64-bit blocks of the largest filter: 16 MB, whatever the tables.
 MAX_BLOCKS = 1 << 21
+#: Blocks put together by one task.
+CHUNK = 1 << 14
 #: Words of which a worker keeps the hash before it starts over.
 CACHED_WORDS = 1_000_000
 
@@ -109,9 +111,20 @@ def bloom(grams: DataFrame, n: int, max_blocks: int = MAX_BLOCKS):
     bit = lambda s: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h1, {s}) & 63 as int))")
     mask = bit(58).bitwiseOR(bit(52)).bitwiseOR(bit(46))
     words = grams.select(F.col("h1").bitwiseAND(blocks - 1).alias("at"), mask.alias("mask")).groupBy("at").agg(F.bit_or("mask").alias("mask"))
-    found = words.toPandas()  # max_blocks rows at most
+
+    def chunk(group):
+        import pyarrow as pa
+
+        first = group.column("chunk")[0].as_py()
+        part = np.zeros(min(CHUNK, blocks), np.int64)
+        part[group.column("at").to_numpy() - first * CHUNK] = group.column("mask").to_numpy()
+        return pa.table({"chunk": pa.array([first], pa.int64()), "part": pa.array([part.tobytes()], pa.binary())})
+
+    chunks = words.withColumn("chunk", F.floor(F.col("at") / CHUNK).cast("bigint")).groupBy("chunk").applyInArrow(chunk, "chunk bigint, part binary")
     sieve = np.zeros(blocks, np.uint64)
-    sieve[found["at"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+    for row in chunks.collect():  # max_blocks / CHUNK rows at most
+        part = np.frombuffer(row["part"], np.uint64)
+        sieve[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(part)] = part
     return sieve
 
 
