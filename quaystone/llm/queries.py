@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quaystone.llm import boilerplate, leakage, nearjoin, ocr, packing, splits, tokenize
+from quaystone.llm import boilerplate, leakage, nearjoin, ocr, packing, sentences, splits, tokenize
 from quaystone.session import materialise
 from quaystone.sources.tables import table
 
@@ -56,6 +56,17 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(sized)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fitted = sentences.models(docs, "doc_id", "text")
+    checked = table(spark, sf_dir, "sentence_check").select("doc_id").distinct()
+    return sentences.sentences(docs.join(checked, "doc_id", "left_semi"), fitted=fitted).distinct()
+
+
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
