@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quaystone.llm import boilerplate, leakage, nearjoin, ocr, packing, sentences, splits, tokenize
+from quaystone.llm import boilerplate, langid, leakage, nearjoin, ocr, packing, pairs, sentences, splits, tokenize
 from quaystone.session import materialise
 from quaystone.sources.tables import table
 
@@ -34,6 +34,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.id_pairs(members, classes, pairs).withColumnRenamed("part", "table_name")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs = langid.fit(table(spark, sf_dir, "documents"))
+    return pairs.defects(table(spark, sf_dir, "controlled_candidate_cases"), langs).select("id", "defect")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = ocr.repaired(table(spark, sf_dir, "documents"))
     return fixed.select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.line_no", "x.kind").distinct()
