@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quaystone.llm import boilerplate, langid, leakage, nearjoin, ocr, packing, pairs, sentences, splits, tokenize
+from quaystone.llm import boilerplate, langid, leakage, nearjoin, ocr, packing, pairs, sentences, splits, splitting, tokenize
 from quaystone.session import materialise
 from quaystone.sources.tables import table
 
@@ -39,6 +39,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(table(spark, sf_dir, "controlled_candidate_cases"), langs).select("id", "defect")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.kinds(table(spark, sf_dir, "documents")).distinct()
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.pieces(table(spark, sf_dir, "documents"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = ocr.repaired(table(spark, sf_dir, "documents"))
     return fixed.select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.line_no", "x.kind").distinct()
