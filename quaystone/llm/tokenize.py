@@ -51,15 +51,16 @@ def _encoder(path: str, pattern: str):
     return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def in_blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(block, doc, text) with blocks of about ``block_chars`` characters, spread by hash."""
+def in_blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, int]:
+    """(block, doc, text) with blocks of about ``block_chars`` characters, spread by hash; and their number."""
     total = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     n = max(1, math.ceil(total / block_chars))
-    return docs.select(
+    placed = docs.select(
         F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(n)).cast("int").alias("block"),
         F.col(id_col).alias("doc"),
         F.col(text_col).alias("text"),
     )
+    return placed.repartition(n, "block"), n  # a task gets about one block, however many there are
 
 
 def block_words(blocks: DataFrame, pattern: str = PATTERN) -> DataFrame:
@@ -122,10 +123,10 @@ def _reassembled(blocks: DataFrame, coded: DataFrame, id_col: str, id_type: str,
 
 
 def _run(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, pattern: str, block_chars: int, counts_only: bool) -> DataFrame:
-    blocks = in_blocks(docs, id_col, text_col, block_chars)
+    blocks, n = in_blocks(docs, id_col, text_col, block_chars)
     words = materialise(block_words(blocks, pattern), "words")  # read twice below
     codes = encode_words(words, vocabulary, pattern)
-    coded = words.join(codes, "word").select("block", "word", "code")
+    coded = words.join(codes, "word").select("block", "word", "code").repartition(n, "block")
     return _reassembled(blocks, coded, id_col, docs.schema[id_col].dataType.simpleString(), pattern, counts_only)
 
 
