@@ -8,6 +8,8 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
 
+from quaystone.llm.sample import bounded
+
 #: Labelled documents the model is fitted on.
 SAMPLE_DOCS = 3_000
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -56,7 +58,7 @@ class Languages:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Languages:
-    """From ``sample_docs`` labelled documents taken by the hash of their id; wrong labels are outvoted."""
+    """From about ``sample_docs`` labelled documents taken by the hash of their id; wrong labels are outvoted."""
     rows = docs.where(F.col(lang_col).isNotNull() & (F.lower(lang_col) != "und") & (F.length(text_col) > 20))
-    rows = rows.select(F.xxhash64(F.col(id_col), F.lit(3)).alias("h"), F.lower(lang_col).alias("lang"), F.col(text_col).alias("t"))
-    return Languages([(r["lang"], r["t"]) for r in rows.orderBy("h", "t").limit(sample_docs).select("lang", "t").collect()])
+    found = bounded(rows, id_col, [F.lower(lang_col).alias("lang"), F.col(text_col).alias("t")], sample_docs, 3)
+    return Languages([(r["lang"], r["t"]) for r in found])
