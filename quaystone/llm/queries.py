@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quaystone.llm import boilerplate, langid, leakage, nearjoin, ocr, packing, pairs, sentences, splits, splitting, tokenize
+from quaystone.llm import boilerplate, langid, latent, leakage, nearjoin, ocr, packing, pairs, sentences, splits, splitting, tokenize
 from quaystone.session import materialise
 from quaystone.sources.tables import table
 
@@ -60,6 +60,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "detector_eval_finreg_v1"))
 
 
+def p7_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated query set: every record whose number is divisible by 20, against all documents."""
+    records = table(spark, sf_dir, "detector_eval_finreg_v1").where(F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint") % 20 == 0)
+    queries = records.select("id", F.explode(F.array("premise", "hypothesis")).alias("text"))
+    return latent.similar_passages(table(spark, sf_dir, "documents"), queries)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.token_ids(table(spark, sf_dir, "documents"))
 
