@@ -117,6 +117,155 @@ def segments(docs: DataFrame, size: int = 1200, overlap: int = 200, **cols) -> D
     return folded(docs, lambda t: packed([p for p in ("\n".join(x.strip() for x in q.split("\n") if x.strip()) for q in re.split(r"\n[^\S\n]*\n", t)) if p], size, overlap), **cols)
 
 
+def _sentence_list(text: str) -> list[str]:
+    import re
+
+    return [x for x in re.split(r"(?<=[.!?])\s+(?=[A-ZА-Я])", text.strip()) if x]
+
+
+def within(text: str, most: int) -> list[str]:
+    """Sentences packed greedily up to ``most`` characters; a longer sentence is sliced."""
+    out, now = [], ""
+    for s in _sentence_list(text):
+        if now and len(now) + 1 + len(s) > most:
+            out.append(now)
+            now = ""
+        while len(s) > most:
+            out.append(s[:most])
+            s = s[most:]
+        now = f"{now} {s}" if now else s
+    return out + ([now] if now else [])
+
+
+def tail(text: str, overlap: int) -> str:
+    """Whole sentences from the end of a text that fit ``overlap``; nothing below min(40, overlap)."""
+    if len(text) <= overlap:
+        return text
+    kept: list[str] = []
+    for s in reversed(_sentence_list(text[-3 * overlap :])):
+        if sum(map(len, kept)) + len(kept) + len(s) > overlap:
+            break
+        kept.insert(0, s)
+    joined = " ".join(kept)
+    return joined if len(joined) >= min(40, overlap) else ""
+
+
+def by_section(blocks: DataFrame, most: int = 1200, overlap: int = 150, id_col: str = "doc_id") -> DataFrame:
+    """(id, chunk_index, heading, chunk) from the blocks of ``sections``: packed up to ``most`` characters within a document.
+
+    A chunk opens with the last sentences of the one before and has the heading of
+    its first block. One document's blocks are folded in one task.
+    """
+    ordered = blocks.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("block_no", "heading", "block"))).alias("bs"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for i, bs in enumerate(batch.column(1).to_pylist()):
+                now, heading, k = [], None, 0
+                for b in bs:
+                    for part in within(b["block"], most):
+                        if now and sum(map(len, now)) + len(part) > most:
+                            whole = "\n\n".join(now)
+                            rows.append((i, k, heading, whole))
+                            k += 1
+                            over = tail(whole, overlap)
+                            now, heading = ([over] if over else []), b["heading"]
+                        elif not now:
+                            heading = b["heading"]
+                        now.append(part)
+                if now:
+                    rows.append((i, k, heading, "\n\n".join(now)))
+            cols = list(zip(*rows)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], [id_col, "chunk_index", "heading", "chunk"]
+            )
+
+    kind = blocks.schema[id_col].dataType.simpleString()
+    return ordered.mapInArrow(run, f"`{id_col}` {kind}, chunk_index int, heading string, chunk string")
+
+
+def hashed_vector(text: str, size: int = 256):
+    """A bag of hashed words, unit length: a stand-in where no embedding model is plugged in."""
+    import re
+    import zlib
+
+    import numpy as np
+
+    v = np.zeros(size)
+    for w in re.findall(r"[^\W_]+", text.lower()):
+        v[zlib.crc32(w.encode()) % size] += 1.0
+    n = float(np.linalg.norm(v))
+    return v / n if n else v
+
+
+def grouped(sentences: list[str], vectors, threshold: float = 0.7, least: int = 100, most: int = 1000) -> list[str]:
+    """A chunk ends where neighbours are less alike than ``threshold`` or it would exceed ``most``; small ones join the one before."""
+    out, now = [], []
+    for i, s in enumerate(sentences):
+        if now and (float(vectors[i - 1] @ vectors[i]) < threshold or sum(map(len, now)) + len(now) + len(s) > most):
+            out.append(" ".join(now))
+            now = []
+        now.append(s)
+    if now:
+        out.append(" ".join(now))
+    merged: list[str] = []
+    for c in out:
+        if merged and len(c) < least and len(merged[-1]) + 1 + len(c) <= most:
+            merged[-1] += " " + c
+        else:
+            merged.append(c)
+    return merged
+
+
+def semantic(docs: DataFrame, embed=hashed_vector, threshold: float = 0.2, least: int = 100, most: int = 1000, **cols) -> DataFrame:
+    """Chunks of neighbouring sentences that are alike; ``embed(text) -> unit vector`` runs in the tasks."""
+
+    def cut(text: str) -> list[str]:
+        ss = _sentence_list(text)
+        return [text] if len(ss) < 2 else grouped(ss, [embed(s) for s in ss], threshold, least, most)
+
+    return folded(docs, cut, **cols)
+
+
+def paragraphs(docs: DataFrame, most: int = 900, least: int = 200, **cols) -> DataFrame:
+    """Paragraphs packed up to ``most`` characters, chunks below ``least`` dropped, longer paragraphs by sentences."""
+
+    def cut(text: str) -> list[str]:
+        parts = [x for p in text.split("\n\n") if p.strip() for x in within(p, most)]
+        return [c for c in packed(parts, most, 0) if len(c) >= least]
+
+    return folded(docs, cut, **cols)
+
+
+def numbered_paragraphs(docs: DataFrame, low: int = 220, high: int = 1300, window: int = 380, most_numbers: int = 18, **cols) -> DataFrame:
+    """Paragraphs for citation: short ones and those full of numbers dropped, long ones cut into windows of sentences."""
+    import re
+
+    def cut(text: str) -> list[str]:
+        out = []
+        for p in text.split("\n\n"):
+            p = " ".join(p.split())
+            if len(p) < low or len(re.findall(r"\d+(?:[.,]\d+)?", p)) >= most_numbers:
+                continue
+            if len(p) <= high:
+                out.append(p)
+                continue
+            now = ""
+            for s in _sentence_list(p):
+                now = f"{now} {s}" if now else s
+                if len(now) >= window:
+                    out.append(now[:high])
+                    now = ""
+            if len(now) >= low:
+                out.append(now[:high])
+        return out
+
+    return folded(docs, cut, **cols)
+
+
 def clean(c):
     """Repairs of extracted page text: odd blanks, hyphens at line ends, soft line breaks, bare page numbers."""
     c = F.regexp_replace(F.regexp_replace(c, " ", " "), "[​­]", "")

@@ -115,16 +115,22 @@ def distribution(rows: DataFrame, by: str, value: str) -> DataFrame:
     )
 
 
-def nearest_rank_quantiles(rows: DataFrame, by: str, value: str, qs: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
+def nearest_rank_quantiles(rows: DataFrame, by: str, value: str, qs: tuple[float, ...] = (0.1, 0.5, 0.9), ranges: int = 256) -> DataFrame:
     """(by, n, q..): values at round((n - 1) q), half to even.
 
-    Values are counted before anything is ordered, and the ordered pass is over
-    the distinct values of a group, so repeated values cost nothing.
+    Values are counted before anything is ordered; running counts go over the
+    distinct values of one of ``ranges`` equal ranges of a group, plus the counts
+    of the ranges before, so no task orders a whole group.
     """
     per = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(by).orderBy("v"))
-    total = F.sum("c").over(Window.partitionBy(by))
-    ordered = per.select(by, "v", upto.alias("upto"), total.alias("n"))
+    edges = per.groupBy(F.col(by).alias("_by")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    own_group = F.col(by).eqNullSafe(F.col("_by"))
+    placed = per.join(edges, own_group).withColumn("_r", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (ranges - 1))).otherwise(0)).drop("_by", "lo", "hi")
+    sums = placed.groupBy(F.col(by).alias("_by"), F.col("_r").alias("_range")).agg(F.sum("c").alias("s"))
+    group = Window.partitionBy("_by")
+    before = sums.select("_by", "_range", F.coalesce(F.sum("s").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("s").over(group).alias("n"))
+    upto = F.sum("c").over(Window.partitionBy(by, "_r").orderBy("v"))
+    ordered = placed.withColumn("upto", upto).join(before, own_group & (F.col("_r") == F.col("_range"))).select(by, "v", (F.col("upto") + F.col("_before")).alias("upto"), "n")
     return ordered.groupBy(by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * F.lit(q)), F.col("v"))).alias(f"q{int(q * 100)}") for q in qs])
 
 

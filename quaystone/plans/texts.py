@@ -94,6 +94,26 @@ def packed_segments(spark, d):
     return chunking.segments(docs(spark, d))
 
 
+@query()
+def section_chunks(spark, d):
+    return chunking.by_section(chunking.sections(docs(spark, d)))
+
+
+@query()
+def semantic_chunks(spark, d):
+    return chunking.semantic(docs(spark, d))
+
+
+@query()
+def paragraph_chunks(spark, d):
+    return chunking.paragraphs(docs(spark, d))
+
+
+@query()
+def citation_paragraphs(spark, d):
+    return chunking.numbered_paragraphs(docs(spark, d))
+
+
 @query()
 def cleaned_text(spark, d):
     return docs(spark, d).where("text is not null").select("doc_id", chunking.clean(F.col("text")).alias("text"))

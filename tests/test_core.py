@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaystone.functions import numeric, text as T, vectors
-from quaystone.operators import chunking, converters, joins, metrics, retrieval, sampling, verify
+from quaystone.operators import chunking, converters, joins, lexical, metrics, retrieval, sampling, verify
 from quaystone.sinks import files as sinks
 from quaystone.sources import files as sources
 
@@ -80,6 +80,36 @@ def test_clean(spark):
     assert one(spark, chunking.clean(F.col("a")), a=("string", "A regu-\nlation\nof banks.\n\n\n12\n\nPage 3\n\nNext")) == "A regulation of banks.\n\nNext"
 
 
+def test_sequential_chunkers(spark):
+    assert chunking.within("One two. Three four. " + "X" * 30, 20) == ["One two. Three four.", "X" * 20, "X" * 10]
+    assert chunking.tail("Short.", 50) == "Short." and chunking.tail("A long first sentence here. And a last one that stays whole and is long.", 50) == "And a last one that stays whole and is long."
+    assert chunking.tail("Aaaa bbbb cccc dddd. Tiny.", 10) == ""
+    import numpy as np
+
+    vs = [np.array(v, float) for v in ([1, 0], [1, 0], [0, 1], [0, 1])]
+    assert chunking.grouped(["a" * 60, "b" * 60, "c" * 120, "d"], vs, 0.7, 100, 1000) == ["a" * 60 + " " + "b" * 60, "c" * 120 + " d"]
+    df = spark.createDataFrame([(1, "1. First Part\n" + "A sentence of the first part. " * 20 + "\n\n2. Second Part\n" + "More of the second part. " * 20), (2, None), (3, "")], "doc_id bigint, text string")
+    rows = chunking.by_section(chunking.sections(df), 300, 60).orderBy("chunk_index").collect()
+    assert rows[0]["heading"] == "1. First Part" and rows[-1]["heading"] == "2. Second Part" and all(len(r["chunk"]) <= 370 for r in rows)
+    assert chunking.semantic(df).count() > 0 and chunking.paragraphs(df).count() > 0 and chunking.numbered_paragraphs(df).where("doc_id <> 1").count() == 0
+
+
+# ---- phrases
+
+
+def test_phrases(spark):
+    rows = [("It is not used to rank retail branches.", "rank retail branches", False), ("We rank retail branches. " + "x " * 80 + "Not so.", "rank retail branches", True), ("none", "", False), (None, "a", False), ("a.b (c", ".b (", True)]
+    df = spark.createDataFrame([r[:2] for r in rows], "t string, p string")
+    assert [r[0] for r in df.select(lexical.unnegated(F.col("t"), F.col("p"))).collect()] == [r[2] for r in rows]
+    assert one(spark, lexical.citations(F.col("a")), a=("string", "Section 3.1 and section 3.1, Article 5")) == ["section 3.1", "article 5"]
+    assert one(spark, lexical.first_rewrite(F.col("a"), [(r"\bshall\b", "need not"), (r"\bmust\b", "may")]), a=("string", "It must and must")) == "It may and must"
+    assert one(spark, lexical.first_rewrite(F.col("a"), [(r"\bshall\b", "x")]), a=("string", "no rule")) is None
+    pairs = spark.createDataFrame([(i, "abcd"[i % 4]) for i in range(60)], "id int, g string")
+    got = lexical.ring_partners(pairs, "id", ["g"], buckets=2).collect()
+    kinds = dict((r["id"], r["g"]) for r in pairs.collect())
+    assert len(got) > 50 and all(kinds[r["id"]] != kinds[r["partner"]] for r in got)
+
+
 # ---- ranking, classification, calibration
 
 
