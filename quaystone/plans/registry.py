@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from quaystone.plans import evaluation, files, lexical, retrieval, samples, texts  # noqa: F401
+    from quaystone.plans import evaluation, files, lexical, reshape, retrieval, samples, texts  # noqa: F401
 
 
 def queries() -> dict:
