@@ -90,6 +90,91 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, do
     return scored.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "score")
 
 
+#: Distinct (query, term) rows up to which a question set is broadcast to the tasks that score it.
+BROADCAST_TERMS = 2_000_000
+
+
+def bm25_top_k(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, digits: int = 6) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best ``k`` documents of every query, scores rounded before they are ranked.
+
+    Each task scores its documents against the whole question set and passes on
+    ``k`` a query, so pairs of common words never leave it. A question set above
+    ``BROADCAST_TERMS`` goes through the joins of ``bm25``.
+    """
+    asked = queries.where(F.col(query_text).isNotNull()).select(F.col(query_id).alias("q"), F.explode(words(F.col(query_text))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
+    if asked.count() > BROADCAST_TERMS:
+        scored = bm25(queries, docs, query_id, query_text, doc_id, doc_text, k1, b, floor).withColumn("score", F.round(F.col("score") + 1.3e-9, digits))
+        return top_k(scored, query_id, [F.desc("score"), doc_id], k)
+    tokens = docs.where(F.col(doc_text).isNotNull()).select(words(F.col(doc_text)).alias("ts"))
+    size = tokens.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))  # one row
+    df = tokens.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.crossJoin(F.broadcast(size)).withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    from quaystone.session import materialise
+
+    idf = materialise(idf.select("term", "idf", "avgdl"), "idf")
+    mean, avgdl = idf.agg(F.avg("idf"), F.max("avgdl")).first()
+    found = asked.join(idf.select("term", "idf"), "term").collect()  # BROADCAST_TERMS rows at most
+    names = sorted({r["q"] for r in found})
+    place = {q: i for i, q in enumerate(names)}
+    rows: dict[str, tuple[float, list[int], list[int]]] = {}
+    for r in sorted(found, key=lambda r: (r["term"], place[r["q"]])):
+        entry = rows.setdefault(r["term"], (floor * mean if r["idf"] < 0 else r["idf"], [], []))
+        entry[1].append(place[r["q"]])
+        entry[2].append(r["qtf"])
+    held = docs.sparkSession.sparkContext.broadcast((names, rows))
+
+    def score(batches):
+        import re
+        from collections import Counter
+
+        import numpy as np
+        import pyarrow as pa
+
+        asked_names, weights = held.value
+        type_of_query = pa.array(asked_names).type if asked_names else pa.string()
+        # one dense matrix of query terms if it is small, else one column list a term
+        dense = len(weights) * len(asked_names) <= 8_000_000
+        column = {t: j for j, t in enumerate(weights)}
+        matrix = np.zeros((len(weights), len(asked_names)) if dense else (0, 0))
+        if dense:
+            for t, (_, qs, c) in weights.items():
+                matrix[column[t], qs] = c
+        weights = {t: (i, np.array(qs), np.array(c, float)) for t, (i, qs, c) in weights.items()}
+        split = re.compile(r"[^ \t\n\r\x0b\f]+").findall
+        step = max(k, 4_000_000 // max(1, len(asked_names), len(weights) if dense else 1))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                ids = part.column(0)
+                total = np.zeros((part.num_rows, len(weights) if dense else len(asked_names)))
+                for d, text in enumerate(part.column(1).to_pylist()):
+                    ts = split(text)
+                    base = k1 * (1 - b + b * len(ts) / avgdl) if avgdl else k1
+                    for t, tf in Counter(ts).items():
+                        if (w := weights.get(t)) is None:
+                            continue
+                        if dense:
+                            total[d, column[t]] = w[0] * tf * (k1 + 1) / (tf + base)
+                        else:
+                            total[d, w[1]] += w[0] * tf * (k1 + 1) / (tf + base) * w[2]
+                total = total @ matrix if dense else total
+                total = np.round(total + np.where(total != 0, 1.3e-9, 0.0), digits)
+                order = np.argsort(np.array(ids.to_pylist()), kind="stable")  # equal scores by id
+                ranked = total[order]
+                best = np.argsort(-ranked, axis=0, kind="stable")[:k]
+                values = np.take_along_axis(ranked, best, 0)
+                keep = values != 0
+                qi = np.broadcast_to(np.arange(len(asked_names)), best.shape)[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([asked_names[i] for i in qi], type_of_query), ids.take(pa.array(order[best[keep]])), pa.array(values[keep])], [query_id, doc_id, "score"]
+                )
+
+    kinds = [queries.schema[query_id].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()]
+    lowered = docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_id), F.lower(doc_text).alias("_t"))
+    out = lowered.mapInArrow(score, f"`{query_id}` {kinds[0]}, `{doc_id}` {kinds[1]}, score double")
+    return top_k(out, query_id, [F.desc("score"), doc_id], k)
+
+
 def fuse(rankings: list[DataFrame], by: str, key: str, constant: int = 60) -> DataFrame:
     """(by, key, score): reciprocal-rank fusion of rankings with (by, key, rank); null keys are left out."""
     every = rankings[0].select(by, key, "rank")

@@ -62,8 +62,7 @@ br AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY scor
 
 
 def _bm25(spark, d, k=20):
-    scored = retrieval.bm25(table(spark, d, "questions_finreg").select("id", "query"), table(spark, d, "documents").select("doc_id", "text"), "id", "query", "doc_id", "text")
-    return retrieval.top_k(scored.withColumn("score", r6("score")), "id", [F.desc("score"), "doc_id"], k)
+    return retrieval.bm25_top_k(table(spark, d, "questions_finreg").select("id", "query"), table(spark, d, "documents").select("doc_id", "text"), "id", "query", "doc_id", "text", k)
 
 
 @query(f"WITH {_BM25} SELECT id, doc_id, score, rank FROM br")

@@ -298,3 +298,15 @@ def test_library_does_not_need_the_llm_folder():
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
             assert "quaystone.llm" not in path.read_text(), path
+
+
+def test_bm25_either_way(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the Cat sat"), (2, "the dog sat sat"), (3, None), (4, ""), (5, "a bird"), (6, "the cat the cat")], "d bigint, t string")
+    queries = spark.createDataFrame([("x", "cat sat"), ("y", None), ("z", "the the bird"), ("w", "nothing")], "q string, s string")
+    a = {tuple(r) for r in retrieval.bm25_top_k(queries, docs, "q", "s", "d", "t", 2).collect()}
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 0)
+    b = {tuple(r) for r in retrieval.bm25_top_k(queries, docs, "q", "s", "d", "t", 2).collect()}
+    assert a == b and {r[0] for r in a} == {"x", "z"}
+    assert retrieval.bm25_top_k(queries.limit(0), docs, "q", "s", "d", "t", 2).count() == 0
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 100)
+    assert retrieval.bm25_top_k(queries, docs.limit(0), "q", "s", "d", "t", 2).count() == 0 and retrieval.bm25_top_k(queries.limit(0), docs, "q", "s", "d", "t", 2).count() == 0
