@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quaystone.functions import text as T
+from quaystone.session import materialise
 
 
 def _words(c) -> Column:
@@ -83,23 +84,62 @@ def most_similar(rows: DataFrame, old: DataFrame, id_col: str, text_col: str, ol
     return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(F.col("a").alias(id_col), F.col("b").alias("old_id"), "similarity")
 
 
+#: Rows of the sample that a row without a partner in its ring may draw from.
+POOL_ROWS = 64
+
+
+def _witnesses(placed: DataFrame, id_col: str, different: list[str]) -> list:
+    """Few rows (16 for three columns) among which each row finds one that differs in every column, if any row does.
+
+    Rows that share values with a witness are asked for another one that differs from
+    those values, until all columns are settled: a tree as deep as there are columns.
+    """
+    nodes, found = {frozenset(): {}}, {}
+    while nodes:
+        free = [F.when(_differs(lambda c, shared=shared: F.lit(shared[c]), list(shared)), F.struct("_k", id_col, *different)) for shared in nodes.values()]
+        picks = placed.agg(*[F.min(c).alias(f"w{i}") for i, c in enumerate(free)]).first()
+        deeper = [shared | {c: pick[c]} for shared, pick in zip(nodes.values(), picks) if pick is not None for c in different if c not in shared]
+        found |= {pick[id_col]: pick for pick in picks if pick is not None}
+        nodes = {frozenset(d.items()): d for d in deeper}
+    return list(found.values())
+
+
+def _differs(other, different: list[str]) -> Column:
+    out = F.lit(True)
+    for c in different:
+        out = out & (F.col(c) != other(c))
+    return out
+
+
 def ring_partners(rows: DataFrame, id_col: str, different: list[str], seed: int = 42, buckets: int = 64) -> DataFrame:
-    """(id, partner): the next row in hashed order that differs in every ``different`` column, if one of the next eight does.
+    """(id, partner): a row that differs in every ``different`` column, for each row that has one.
 
     A stand-in for random unrelated pairs without a theta join: rows are ordered
-    within hash buckets and each looks at its successors.
+    within hash buckets, each a ring, and each looks at its next eight. What finds
+    none there draws from a sample of rows and the witnesses, which are enough for
+    every row with any partner. A null in a column differs from nothing.
     """
     key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")), 256)
+    placed = rows.select(id_col, *different).dropna(subset=different).withColumn("_k", key).withColumn("_b", F.pmod(F.crc32("_k"), F.lit(buckets)))
+    placed = materialise(placed, "partners")
+    named = placed.where(F.col(id_col).isNotNull())
+    chosen = {r[id_col]: r for r in [*named.orderBy("_k").limit(POOL_ROWS).collect(), *_witnesses(named, id_col, different)]}
+    fields = placed.select(id_col, *different).schema
+    pool = rows.sparkSession.createDataFrame([tuple(r[f] for f in fields.names) for r in chosen.values()], fields).agg(F.collect_list(F.struct(*fields.names)).alias("_pool"))
+
     w = Window.partitionBy("_b").orderBy("_k")
-    placed = rows.select(id_col, *different).withColumn("_k", key).withColumn("_b", F.pmod(F.crc32("_k"), F.lit(buckets)))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    row = F.struct(id_col, *different)
+    ring = placed.withColumn("_n", F.row_number().over(w) - F.count("*").over(Window.partitionBy("_b")))
+    ring = ring.withColumns({f"_next{s}": F.lead(row, s).over(w) for s in range(1, 9)} | {f"_first{s}": F.nth_value(row, s).over(whole) for s in range(1, 9)})
+    first = F.array(*[F.col(f"_first{s}") for s in range(1, 9)])
     tries = []
     for step in range(1, 9):
-        other = F.lead(id_col, step).over(w)
-        ok = other.isNotNull()
-        for c in different:
-            ok = ok & (F.col(c) != F.lead(c, step).over(w))
-        tries.append(F.when(ok, other))
-    return placed.select(id_col, F.coalesce(*tries).alias("partner")).where("partner is not null")
+        other = F.when(F.col("_n") + step <= 0, F.col(f"_next{step}")).otherwise(F.get(first, F.col("_n") + step - 1))
+        tries.append(F.when(_differs(lambda c: other[c], different), other[id_col]))
+    apart = F.filter("_pool", lambda o: _differs(lambda c: o[c], different))
+    drawn = F.array_min(F.transform(apart, lambda o: F.struct(F.xxhash64(F.lit(seed), F.col(id_col), o[id_col]).alias("h"), o[id_col].alias("partner"))))["partner"]
+    return ring.crossJoin(F.broadcast(pool)).select(id_col, F.coalesce(*tries, drawn).alias("partner")).where("partner is not null")
 
 
 def decided(rows: DataFrame, by: str, probability: str, cut: float = 0.5) -> DataFrame:
