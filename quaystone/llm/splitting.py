@@ -132,11 +132,12 @@ def depths(similarity: list[float]) -> list[float]:
     return [left[i] + right[i] - 2 * s for i, s in enumerate(similarity)]
 
 
-def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
-    """(start with overlap, start of new text, end) of each piece, in order; all of the text is in one."""
+def parted(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str | None, list[tuple[int, int, int]]]:
+    """The kind of boundary a text is cut at, None if it is within the limit, and its pieces as of ``cut``."""
     if len(text) <= limit:
-        return [(0, 0, len(text))]
-    cuts = _cuts(text, boundary_kind(text, limit), limit)
+        return None, [(0, 0, len(text))]
+    kind = boundary_kind(text, limit)
+    cuts = _cuts(text, kind, limit)
     depth = depths(cohesion(text, cuts))
     pieces, at, k = [], 0, 0
     while at < len(text):
@@ -161,17 +162,27 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
             begin = begin if begin == 0 or text[begin - 1].isspace() else m.end() if m else begin
         pieces.append((begin, at, end))
         at = end
-    return pieces
+    return kind, pieces
+
+
+def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+    """(start with overlap, start of new text, end) of each piece, in order; all of the text is in one."""
+    return parted(text, limit, overlap)[1]
+
+
+def cut_at(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> list[str | None]:
+    """The kind of boundary each text was cut at, from the pass that cuts it."""
+    return [parted(t, limit, overlap)[0] for t in texts]
 
 
-def kinds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """(id_col, cut_at) of each text above the limit."""
+def kinds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(id_col, cut_at) of each text above the limit, all of which are cut as for ``pieces``."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([boundary_kind(t, limit) for t in batch.column(1).to_pylist()], pa.string())], [id_col, "cut_at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut_at(batch.column(1).to_pylist(), limit, overlap), pa.string())], [id_col, "cut_at"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.where(F.length(text_col) > limit).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, cut_at string")
