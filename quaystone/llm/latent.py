@@ -28,6 +28,10 @@ FEATURES = 1 << 15
 RANK = 48
 #: Words of a passage and of its step.
 WINDOW, STEP = 24, 12
+#: Least cosine of a candidate: well below the share of words that the exact check asks for.
+COSINE = 0.3
+#: Columns into which words are folded to bound how many two passages share.
+FOLDS = 256
 #: Passages of one block of the search.
 BLOCK = 4096
 #: Largest size of the stated query passages that is broadcast; beyond it they are joined in blocks.
@@ -196,7 +200,31 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - bin(row).count("1")
 
 
-def similar_passages(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "id", query_text: str = "text", cosine: float = 0.8, least: float = 0.5, window: int = WINDOW, step: int = STEP, features: int = FEATURES, rank: int = RANK, model=None) -> DataFrame:
+def common_subsequences(a, b):
+    """``common_subsequence`` of each row of two arrays of word numbers; negative numbers equal nothing, at most 64 columns in ``a``."""
+    import numpy as np
+
+    bits = np.left_shift(np.uint64(1), np.arange(a.shape[1], dtype=np.uint64))
+    a = np.where(a < 0, -1, a)
+    row = np.full(len(a), ~np.uint64(0))
+    for k in range(b.shape[1]):
+        m = row & np.where((a == b[:, k : k + 1]) & (a >= 0), bits, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+        row = (row + m) | (row - m)
+    return np.bitwise_count(~row).astype(np.int64)
+
+
+def _numbered(passages: list[str], vocabulary: dict[str, int], grow: bool):
+    """Word numbers of passages, a row each, filled up with -1; words that aren't in the vocabulary are -1 unless it may grow."""
+    import numpy as np
+
+    split = [p.split(" ") for p in passages]
+    out = np.full((len(split), max(map(len, split), default=1)), -1, np.int32)
+    for i, ws in enumerate(split):
+        out[i, : len(ws)] = [vocabulary.setdefault(w, len(vocabulary)) for w in ws] if grow else [vocabulary.get(w, -1) for w in ws]
+    return out, np.array([len(ws) for ws in split])
+
+
+def similar_passages(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "id", query_text: str = "text", cosine: float = COSINE, least: float = 0.5, window: int = WINDOW, step: int = STEP, features: int = FEATURES, rank: int = RANK, model=None) -> DataFrame:
     """(doc_id, query_id, similarity, shared): best passage pair of each document and stated record.
 
     ``shared`` is the longest common subsequence over the record passage's words,
@@ -218,14 +246,28 @@ def similar_passages(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id"
         d = np.frombuffer(dvectors, np.float32).reshape(len(dids), -1)
         q = np.frombuffer(qvectors, np.float32).reshape(len(qids), -1)
         best: dict = {}
+        vocabulary: dict[str, int] = {}
+        (qn, sizes), (dn, _) = _numbered(qwords, vocabulary, True), _numbered(dwords, vocabulary, False)
+        counts = np.zeros((FOLDS, len(qids)), np.float32)
+        at, k = np.nonzero(qn >= 0)
+        np.add.at(counts, (qn[at, k] % FOLDS, at), 1)
         for a in range(0, len(dids), 512):
             scores = d[a : a + 512] @ q.T
-            for i, j in zip(*np.nonzero(scores >= cosine)):
-                qw = qwords[j].split(" ")
-                part = common_subsequence(qw, dwords[a + i].split(" ")) / len(qw)
-                key = (dids[a + i], qids[j])
-                if part >= least and (key not in best or (part, scores[i, j]) > best[key]):
-                    best[key] = (part, float(scores[i, j]))
+            holds = np.zeros((len(scores), FOLDS), np.float32)
+            at, k = np.nonzero(dn[a : a + 512] >= 0)
+            holds[at, dn[a + at, k] % FOLDS] = 1
+            # no subsequence is longer than the number of the record's words that occur at all
+            rows, cols = np.nonzero((scores >= cosine) & (holds @ counts >= least * sizes - 1e-3))
+            for f in range(0, len(rows), 1 << 15):
+                i, j = rows[f : f + (1 << 15)], cols[f : f + (1 << 15)]
+                if qn.shape[1] <= 64:
+                    shares = common_subsequences(qn[j], dn[a + i]) / sizes[j]
+                else:
+                    shares = np.array([common_subsequence(qwords[y].split(" "), dwords[a + x].split(" ")) / sizes[y] for x, y in zip(i, j)])
+                for x, y, part in zip(i, j, shares):
+                    key = (dids[a + x], qids[y])
+                    if part >= least and (key not in best or (part, scores[x, y]) > best[key]):
+                        best[key] = (float(part), float(scores[x, y]))
         return best
 
     def emitted(best, d_type, q_type):
