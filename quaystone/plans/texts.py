@@ -48,16 +48,14 @@ _SENTENCES = "sents AS (SELECT doc_id, i AS sent_no, " + _STRIP.format("p[i]") +
 
 @query(f"WITH {_SENTENCES} SELECT doc_id, sent_no, md5(s) AS digest FROM sents WHERE s <> ''")
 def sentence_scan(spark, d):
-    kept = docs(spark, d).where(~F.contains("text", F.lit("\x01")))
-    return chunking.sentences(kept).select("doc_id", "sent_no", F.md5("sentence").alias("digest"))
+    return chunking.sentences(docs(spark, d)).select("doc_id", "sent_no", F.md5("sentence").alias("digest"))
 
 
 @query(f"""WITH {_SENTENCES}, k AS (SELECT * FROM sents WHERE s <> ''), r AS (SELECT doc_id, sent_no, s || ' ' || lead(s, 1) OVER w || ' ' || lead(s, 2) OVER w AS p FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY sent_no)),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, substring(lower(p), 1, 240) ORDER BY sent_no) AS n FROM r WHERE length(p) BETWEEN 220 AND 900)
 SELECT doc_id, sent_no, md5(p) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_no) AS m FROM f WHERE n = 1) WHERE m <= 18""")
 def sliding_passages(spark, d):
-    kept = docs(spark, d).where(~F.contains("text", F.lit("\x01")))
-    return chunking.passages(chunking.sentences(kept)).select("doc_id", "sent_no", F.md5("passage").alias("digest"))
+    return chunking.passages(chunking.sentences(docs(spark, d))).select("doc_id", "sent_no", F.md5("passage").alias("digest"))
 
 
 @query("""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '""" + _B + """+', ' ', 'g'), ' ') AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, length(t) AS n_chars, md5(t) AS digest, sha256(t) AS sha FROM n""")
