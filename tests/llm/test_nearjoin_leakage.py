@@ -36,6 +36,10 @@ def test_pairs_brute_force(spark):
         members, texts, pairs = nearjoin.near_duplicates(df, t)
         got = {tuple(r) for r in nearjoin.id_pairs(members, texts, pairs).collect()}
         assert got == _brute(rows, t), t
+    # signatures of more than two sets are split by rare words: no link may be lost
+    _, _, sets = nearjoin.classes(df, "part", "id", "text")
+    plain, split = (nearjoin.verified(nearjoin.candidates(sets, 0.7, hot=h), sets, 0.7).select("a", "b") for h in (10**9, 2))
+    assert plain.exceptAll(split).count() == split.exceptAll(plain).count() == 0 and plain.count()
 
 
 def test_bands_leave_no_gap():
