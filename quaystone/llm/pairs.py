@@ -21,7 +21,8 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-from quaystone.llm import langid, sentences
+from quaystone.llm import cues, langid
+from quaystone.llm.sentences import _BREAK
 from quaystone.llm.words import RUN
 from quaystone.session import materialise
 
@@ -60,9 +61,9 @@ def _clean(text: str | None) -> str:
 def _sentences(text: str) -> list[str]:
     """Sentences by the cues alone, which is enough to count frames."""
     out = []
-    for par in sentences._BREAK.split(text):
+    for par in _BREAK.split(text):
         begin = 0
-        for end in [*(c.end for c in sentences.candidates(par) if c.label), len(par)]:
+        for end in [*cues.ends(par), len(par)]:
             body = par[begin:end].strip()
             if body:
                 out.append(body)
@@ -79,7 +80,7 @@ def _finished(sentence: str) -> bool:
         token = re.split(r"[\s(\[\"“„«]", last[:-1].lower())[-1]
         if token == last[:-1].lower():
             return True
-        return token not in sentences.BOUND and token not in sentences.COUNTED
+        return token not in cues.BOUND and token not in cues.COUNTED
     return True
 
 

@@ -25,7 +25,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
 
-from quaystone.llm import sentences
+from quaystone.llm import cues
 from quaystone.llm.words import RUN
 
 LIMIT = 6_000
@@ -51,7 +51,7 @@ def sentence_ends(text: str, first: int, after: int) -> list[int]:
     ends, at = [], first
     for line in text[first:after].split("\n"):
         if line.strip():
-            ends += [at + c.end for c in sentences.candidates(line) if c.label and c.end < len(line)]
+            ends += [at + e for e in cues.ends(line) if e < len(line)]
             ends.append(at + len(line))
         at += len(line) + 1
     return ends

@@ -85,11 +85,65 @@ def test_unpunctuated_model_finds_held_out_boundaries():
     for part in held.split(" ")[:-1]:
         at += len(part)
         truth.add(at)
-    places = range(3, len(run) - 3)
-    found = {i for i, cut in zip(places, chain.decode([chain.score(sentences._around(run, i)) for i in places])) if cut}
+    found = {b for _, b in sentences.sentence_spans(run, sentences.Chain(), chain)[:-1]}
     assert len(found & truth) >= 0.9 * len(truth) and len(found - truth) <= 0.1 * len(truth) + 1
 
 
+def _corpus(rng, n):
+    """(text, ends): English-like text with an abbreviation before names, one before figures, and one that may end a sentence."""
+    nouns = "records ledgers audits limits reports models losses claims buffers plans".split()
+    verbs = "exceed follow cover replace support delay affect measure".split()
+    names = ["Alder", "Birch", "Cedar", "Denholm", "Elm", "Fir"]
+    out = []
+    for _ in range(n):
+        text, ends = "", []
+        for _ in range(rng.randrange(4, 9)):
+            a, b, v = rng.choice(nouns), rng.choice(nouns), rng.choice(verbs)
+            s = rng.choice([
+                f"The {a} {v} the {b}.", f"Some {a} {v} new {b}.", f"Later we {v} some {b}.", f"The {a} of Dr. {rng.choice(names)} {v} {b}.", f"They {v} no. {rng.randrange(99)} and the {b}.",
+                f"The {a} {v} Holm Inc. and the {b}.", f"The {a} {v} Holm Inc.", f"We {v} J. K. {rng.choice(names)} and the {b}.", f"He said: \"The {a} {v}.\"",
+            ])
+            text += (" " if text else "") + s
+            ends.append(len(text))
+        out.append((text, ends))
+    return out
+
+
+def _f1(pairs):
+    hit = found = true = 0
+    for a, b in pairs:
+        hit, found, true = hit + len(a & b), found + len(a), true + len(b)
+    return 2 * hit / max(1, found + true)
+
+
+def test_chain_learns_abbreviations_and_needs_its_transitions():
+    import random
+
+    rng = random.Random(3)
+    train, held = [t for t, _ in _corpus(rng, 500)], _corpus(rng, 200)
+    scores = {}
+    for transitions in (True, False):
+        chain = sentences.train_punctuated(train, transitions=transitions)
+        scores[transitions] = _f1([({b for _, b in sentences.sentence_spans(t, chain)}, set(e)) for t, e in held])
+    naive = _f1([({m.end() for m in re.finditer(r'[.]"?(?=\s+[A-Z"]|$)', t)}, set(e)) for t, e in held])
+    lower = _f1([({m.end() for m in re.finditer(r'[.]"?(?=\s|$)', t)}, set(e)) for t, e in held])
+    assert scores[True] > 0.98 > max(naive, lower) and scores[True] >= scores[False], (scores, naive, lower)
+
+
+def test_places_without_a_sure_label_are_decided_by_the_chain():
+    import random
+
+    texts = [t for t, _ in _corpus(random.Random(5), 300)]
+    chain = sentences.train_punctuated(texts)
+    open_, cut = 0, 0
+    for t in texts:
+        found = sentences.choices(t, chain.words)
+        tags = chain.decode([chain.score(c.features) for c in found], [c.edges for c in found])
+        open_ += sum(c.label is None for c in found)
+        cut += sum(tag for c, tag in zip(found, tags) if c.label is None)
+    assert 0 < cut <= open_
+
+
 CLEAN = "The management body should monitor certified findings before each meeting. " * 30
 
 
