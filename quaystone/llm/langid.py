@@ -12,6 +12,7 @@ from quaystone.llm.sample import bounded
 
 #: Labelled documents the model is fitted on.
 SAMPLE_DOCS = 3_000
+_WHOLE = re.compile(r"[^\n]{20,300}?[^\W\d_]{2}[.!?。！？؟।]")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -38,23 +39,44 @@ def script(text: str) -> str:
 
 
 class Languages:
-    def __init__(self, rows: list[tuple[str, str]], known: int = 20_000):
+    """``samples`` holds a few openings of texts of each language; ``common`` its everyday words."""
+
+    def __init__(self, rows: list[tuple[str, str]], known: int = 20_000, everyday: int = 60, openings: int = 12):
+        import numpy as np
+
         counts: dict[str, Counter] = {}
+        words: dict[str, Counter] = {}
+        self.samples: dict[str, list[str]] = {}
         for lang, text in rows:
             counts.setdefault(lang, Counter()).update(_grams(text))
+            words.setdefault(lang, Counter()).update(w.lower() for w in _NOT_LETTERS.split(text) if w)
+            if len(own := self.samples.setdefault(lang, [])) < openings and (whole := _WHOLE.match(text)):
+                own.append(whole.group())
         total = sum(counts.values(), Counter())
-        vocabulary = {g for g, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:known]}
+        vocabulary = [g for g, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:known]]
         self.langs = sorted(counts)
-        self.floor, self.logs = {}, {}
-        for lang in self.langs:
-            own = {g: c for g, c in counts[lang].items() if g in vocabulary}
-            size = sum(own.values()) + 0.5 * len(vocabulary)
-            self.logs[lang] = {g: math.log((c + 0.5) / size) for g, c in own.items()}
-            self.floor[lang] = math.log(0.5 / size)
+        self.at = {g: i for i, g in enumerate(vocabulary)}
+        # a row for each known trigram, the last one for all others
+        self.logs = np.zeros((len(vocabulary) + 1, len(self.langs)))
+        for k, lang in enumerate(self.langs):
+            own = np.array([counts[lang].get(g, 0) for g in vocabulary] + [0]) + 0.5
+            self.logs[:, k] = np.log(own / own.sum())
+        self.common = {lang: {w for w, _ in words[lang].most_common(everyday)} for lang in self.langs}
 
     def scores(self, text: str) -> dict[str, float]:
         grams = _grams(text)
-        return {lang: sum(c * self.logs[lang].get(g, self.floor[lang]) for g, c in grams.items()) for lang in self.langs}
+        rows = [self.at.get(g, len(self.at)) for g in grams]
+        return dict(zip(self.langs, (self.logs[rows] * [[c] for c in grams.values()]).sum(0).tolist()))
+
+    def best(self, text: str) -> str:
+        scores = self.scores(text)
+        return max(self.langs, key=lambda k: (scores[k], k))
+
+    def everyday(self, text: str, lang: str) -> tuple[int, int]:
+        """(words that are everyday words of ``lang``, the largest such number of any language)."""
+        ws = [w.lower() for w in _NOT_LETTERS.split(text) if w]
+        count = {k: sum(w in own for w in ws) for k, own in self.common.items()}
+        return count[lang], max(count.values())
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Languages:

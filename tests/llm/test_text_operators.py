@@ -212,3 +212,29 @@ def test_defects_of_nothing(spark):
 def test_label_model_trusts_agreement():
     post = pairs.label_model([((1, 1, 1), 30), ((-1, -1, -1), 300), ((1, 1, 0), 10), ((0, -1, -1), 40)])
     assert post[(1, 1, 1)] > 0.9 and post[(1, 1, 0)] > 0.5 and post[(-1, -1, -1)] < 0.1 and post[(0, -1, -1)] < 0.3
+
+
+def test_label_model_beats_majority_vote():
+    import random
+
+    rng = random.Random(2)
+    hit, alarm, n = (0.95, 0.6, 0.55, 0.6), (0.01, 0.3, 0.35, 0.3), 20_000
+    rows = []
+    for _ in range(n):
+        y = rng.random() < 0.1
+        rows.append((y, tuple(0 if rng.random() < 0.1 else 1 if rng.random() < (hit if y else alarm)[j] else -1 for j in range(4))))
+    counts = {}
+    for _, p in rows:
+        counts[p] = counts.get(p, 0) + 1
+    post = pairs.label_model(list(counts.items()))
+    wrong = lambda say: sum(say(p) != y for y, p in rows)
+    assert wrong(lambda p: post[p] > 0.5) < 0.5 * wrong(lambda p: sum(p) > 0)
+    assert pairs.LabelModel(list(counts.items())).posterior((0, 0, 0, 0)) < 0.5
+
+
+def test_cutoffs_are_validated_on_planted_answers():
+    model = pairs.LabelModel([((1, 1), 50), ((1, -1), 50), ((-1, -1), 900)])
+    rows = [("copy", (1, 1), 20), ("copy", (1, -1), 2), ("none", (1, -1), 30), ("none", (-1, -1), 100)]
+    cutoff, precision, recall = pairs.validated(model, "copy", rows)
+    assert precision == 1.0 and recall > 0.9 and model.posterior((1, -1)) <= cutoff < model.posterior((1, 1))
+    assert pairs.validated(model, "copy", [])[0] == 0.5
