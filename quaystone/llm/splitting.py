@@ -75,17 +75,29 @@ def boundary_kind(text: str, limit: int = LIMIT) -> str:
     return kind
 
 
-def _cuts(text: str, kind: str, limit: int) -> list[int]:
-    """Allowed ends of pieces, in order, the end of the text last."""
-    cuts = []
+KINDS = ("paragraph", "sentence", "hard")
+
+
+def _cuts(text: str, limit: int) -> tuple[list[int], list[int]]:
+    """Allowed ends of pieces in order, the end of the text last, and how fine each is (a place in ``KINDS``).
+
+    A stretch within the limit is only cut after it, a longer one after its sentences too.
+    """
+    cuts: list[int] = []
+    fine: list[int] = []
     for a, b in stretches(text):
-        if kind == "paragraph" or b - a <= limit // 2:
-            cuts.append(b)
-        else:
-            cuts += sentence_ends(text, a, b)
+        end = a + len(text[a:b].rstrip())
+        if _size(text, a, b) > limit:
+            inner = [e for e in sentence_ends(text, a, b) if e < end]
+            cuts += inner
+            fine += [1] * len(inner)
+        if end > a:
+            cuts.append(end)
+            fine.append(0)
     if not cuts or cuts[-1] != len(text):
         cuts.append(len(text))
-    return cuts
+        fine.append(0)
+    return cuts, fine
 
 
 def cohesion(text: str, cuts: list[int], block: int = BLOCK_WORDS) -> list[float]:
@@ -133,27 +145,32 @@ def depths(similarity: list[float]) -> list[float]:
 
 
 def parted(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str | None, list[tuple[int, int, int]]]:
-    """The kind of boundary a text is cut at, None if it is within the limit, and its pieces as of ``cut``."""
+    """The finest kind of boundary that a cut was made at, None if the text is within the limit, and its pieces as of ``cut``."""
     if len(text) <= limit:
         return None, [(0, 0, len(text))]
-    kind = boundary_kind(text, limit)
-    cuts = _cuts(text, kind, limit)
+    cuts, fine = _cuts(text, limit)
     depth = depths(cohesion(text, cuts))
-    pieces, at, k = [], 0, 0
+    pieces, at, k, finest = [], 0, 0, 0
     while at < len(text):
-        # room is kept for the overlap unless no boundary allows it
-        for most in (limit - overlap, limit):
+        # room is kept for the overlap unless no boundary allows it; at last blanks before the piece are left out
+        for most, skip in ((limit - overlap, False), (limit, False), (limit, True)):
+            if skip:
+                at += len(text[at:]) - len(text[at:].lstrip()) if pieces or cuts[k] - at > limit else 0
             j = bisect.bisect_right(cuts, at + most) - 1
             if j >= k and cuts[j] > at:
                 break
+        if at >= len(text):
+            break
         if j < k or cuts[j] <= at:
             end = at + limit - overlap
             blank = text.rfind(" ", at + (limit - overlap) // 2, end)
             end = min(len(text), blank + 1 if blank > 0 else end)
+            finest = 2
         else:
             low = bisect.bisect_left(cuts, at + most // 2, k, j + 1)
-            best = j if cuts[j] == len(text) and cuts[j] - at <= most else max(range(min(low, j), j + 1), key=lambda i: (depth[i], i))
+            best = j if cuts[j] == len(text) and cuts[j] - at <= most else max(range(min(low, j), j + 1), key=lambda i: (-fine[i], depth[i], i))
             end = cuts[best]
+            finest = max(finest, fine[best])
         k = bisect.bisect_right(cuts, end)
         back = min(overlap, limit - (end - at), at) if pieces else 0
         begin = at - back
@@ -162,11 +179,11 @@ def parted(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str |
             begin = begin if begin == 0 or text[begin - 1].isspace() else m.end() if m else begin
         pieces.append((begin, at, end))
         at = end
-    return kind, pieces
+    return KINDS[finest], pieces
 
 
 def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
-    """(start with overlap, start of new text, end) of each piece, in order; all of the text is in one."""
+    """(start with overlap, start of new text, end) of each piece, in order; all of the text but blanks between two pieces is in one."""
     return parted(text, limit, overlap)[1]
 
 
