@@ -100,8 +100,9 @@ def with_rank(items: DataFrame, id_col: str, n_items: int, per_bucket: int = ITE
     counts = spread.groupBy("size", "_bucket").count()
     before = Window.partitionBy("size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("size", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    # the offsets grow with the items: never broadcast
     own = F.row_number().over(Window.partitionBy("size", "_bucket").orderBy(id_col, "piece")) - 1
-    return spread.withColumn("_own", own).join(offsets, ["size", "_bucket"]).withColumn("rank", F.col("_own") + F.col("_before")).drop("_own", "_before", "_bucket")
+    return spread.withColumn("_own", own).join(offsets.hint("merge"), ["size", "_bucket"]).withColumn("rank", F.col("_own") + F.col("_before")).drop("_own", "_before", "_bucket")
 
 
 def containers(sized: DataFrame, capacity: int = 2048, id_col: str = "doc_id", size_col: str = "n_tokens", per_bucket: int = ITEMS_PER_BUCKET) -> DataFrame:

@@ -1,11 +1,13 @@
 """Problem 8: the whole corpus as ids of a public byte-level BPE.
 
-Plan: documents are hashed into blocks of bounded size. Each block explodes its
-texts into pre-tokens and keeps the distinct ones (a map-side combine: a word
-crosses the network once per block, not once per occurrence). The distinct words
-of all blocks are made distinct again, each is encoded exactly once, and the ids
-are joined back to the (block, word) rows. A co-group brings every block's
-documents together with its words, and the ids are put together by position.
+Plan: every scan task splits its texts into pre-tokens once and puts them into
+blocks of bounded size. A block keeps its distinct words and, for each document,
+the place of each pre-token's word among them (its positions, as 32-bit numbers);
+no text is shuffled. The distinct words of all blocks are made distinct again,
+each is encoded exactly once, and the ids are joined back to the (block, word)
+rows. A co-group brings every block's positions together with its coded words,
+and the ids are gathered by position. The number of tasks is that of the scan and
+of the session's shuffle partitions, whatever the corpus.
 
 Defined results: null and empty texts give an empty list; every input row gives
 one output row (repeated rows stay repeated); marker tokens written in a text
@@ -16,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import math
 import os
 
 from pyspark.sql import DataFrame, functions as F
@@ -51,33 +52,55 @@ def _encoder(path: str, pattern: str):
     return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def in_blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, int]:
-    """(block, doc, text) with blocks of about ``block_chars`` characters, spread by hash; and their number."""
-    total = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    n = max(1, math.ceil(total / block_chars))
-    placed = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(n)).cast("int").alias("block"),
-        F.col(id_col).alias("doc"),
-        F.col(text_col).alias("text"),
-    )
-    return placed.repartition(n, "block"), n  # a task gets about one block, however many there are
+class _Places(dict):
+    """Gives each new word the next number."""
 
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
-def block_words(blocks: DataFrame, pattern: str = PATTERN) -> DataFrame:
-    """(block, word): the distinct pre-tokens of each block."""
 
-    def words(group):
-        import pyarrow as pa
+def in_blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str = PATTERN, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(block, doc, places, words), written: a row for each document with the places of its pre-tokens, and one for each block with its words.
 
-        split, seen = _splitter(pattern), set()
-        for text in group.column("text"):
-            text = text.as_py()
-            if text:
-                seen.update(split(text))
-        block = group.column("block")[0].as_py()
-        return pa.table({"block": pa.array([block] * len(seen), pa.int32()), "word": pa.array(list(seen), pa.string())})
+    ``words`` is null in the rows of documents, ``places`` in those of blocks. A
+    block holds about ``block_chars`` characters, and one document at least.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
 
-    return blocks.groupBy("block").applyInArrow(words, "block int, word string")
+    def split_up(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        context, split, number = TaskContext.get(), _splitter(pattern), 0
+        first = (context.partitionId() if context else 0) << 32
+        for batch in batches:
+            texts = batch.column(1)
+            start, chars, places, words = 0, 0, [], _Places()
+
+            def block(stop):
+                n, kind = stop - start, pa.int64()
+                own = pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n + 1, first + number), kind), pa.concat_arrays([batch.column(0).slice(start, n), pa.nulls(1, batch.column(0).type)]), pa.array([*places, None], pa.binary()), pa.array([None] * n + [list(words)], pa.list_(pa.string()))],
+                    ["block", "doc", "places", "words"],
+                )
+                return own
+
+            for i in range(batch.num_rows):
+                text = texts[i].as_py() or ""
+                if chars and chars + len(text) > block_chars:
+                    yield block(i)
+                    number += 1
+                    start, chars, places, words = i, 0, [], _Places()
+                places.append(np.fromiter(map(words.__getitem__, split(text)), np.int32).tobytes())
+                chars += len(text)
+            if batch.num_rows > start:
+                yield block(batch.num_rows)
+                number += 1
+
+    out = f"block bigint, doc {id_type}, places binary, words array<string>"
+    return materialise(docs.select(id_col, text_col).mapInArrow(split_up, out), "blocks")
 
 
 def encode_words(words: DataFrame, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
@@ -97,37 +120,39 @@ def encode_words(words: DataFrame, vocabulary: str, pattern: str = PATTERN) -> D
     return words.select("word").distinct().mapInArrow(encode, "word string, code binary")
 
 
-def _reassembled(blocks: DataFrame, coded: DataFrame, id_col: str, id_type: str, pattern: str, counts_only: bool) -> DataFrame:
+def _reassembled(blocks: DataFrame, coded: DataFrame, id_col: str, id_type: str, counts_only: bool) -> DataFrame:
     def put_together(docs, table):
         import numpy as np
         import pyarrow as pa
 
-        split = _splitter(pattern)
-        code = dict(zip(table.column("word").to_pylist(), table.column("code").to_pylist()))
-        at, rows, sizes = code.__getitem__, [], np.zeros(docs.num_rows + 1, np.int64)
-        for i, text in enumerate(docs.column("text")):
-            text = text.as_py()
-            row = b"".join(map(at, split(text))) if text else b""
-            sizes[i + 1] = len(row) // 4
-            if not counts_only:
-                rows.append(row)
+        order = table.column("at").to_numpy()
+        codes = [b""] * len(order)
+        for k, code in zip(order.tolist(), table.column("code").to_pylist()):
+            codes[k] = code
+        length = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        begin, flat = np.cumsum(length) - length, np.frombuffer(b"".join(codes), "<i4")
+        rows = docs.column("places").to_pylist()
+        at = np.frombuffer(b"".join(rows), np.int32)
+        ends = np.cumsum([len(r) // 4 for r in rows])
+        upto = np.concatenate(([0], np.cumsum(length[at])))
+        sizes = np.concatenate(([0], upto[ends]))
         ids = docs.column("doc").combine_chunks()
         if counts_only:
-            return pa.table({id_col: ids, "n_tokens": pa.array(sizes[1:], pa.int64())})
-        flat = pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32())
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), flat)
-        return pa.table({id_col: ids, "ids": lists})
+            return pa.table({id_col: ids, "n_tokens": pa.array(np.diff(sizes), pa.int64())})
+        gathered = flat[np.repeat(begin[at] - upto[:-1], length[at]) + np.arange(upto[-1])]
+        return pa.table({id_col: ids, "ids": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(gathered, pa.int32()))})
 
     out = f"`{id_col}` {id_type}, " + ("n_tokens bigint" if counts_only else "ids array<int>")
-    return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(put_together, out)
+    return blocks.groupBy("block").cogroup(coded.groupBy("within")).applyInArrow(put_together, out)
 
 
 def _run(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, pattern: str, block_chars: int, counts_only: bool) -> DataFrame:
-    blocks, n = in_blocks(docs, id_col, text_col, block_chars)
-    words = materialise(block_words(blocks, pattern), "words")  # read twice below
+    blocks = in_blocks(docs, id_col, text_col, pattern, block_chars)
+    words = blocks.where("words is not null").select(F.col("block").alias("within"), F.posexplode("words").alias("at", "word"))
     codes = encode_words(words, vocabulary, pattern)
-    coded = words.join(codes, "word").select("block", "word", "code").repartition(n, "block")
-    return _reassembled(blocks, coded, id_col, docs.schema[id_col].dataType.simpleString(), pattern, counts_only)
+    coded = words.join(codes, "word").select("within", "at", "code")
+    rows = blocks.where("words is null").select("block", "doc", "places")
+    return _reassembled(rows, coded, id_col, docs.schema[id_col].dataType.simpleString(), counts_only)
 
 
 def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, pattern: str = PATTERN, block_chars: int = BLOCK_CHARS) -> DataFrame:
