@@ -173,6 +173,27 @@ def test_scan_is_repaired(spark):
     assert "Page" not in text and "Notes" not in text
 
 
+def test_lattice_merges_splits_and_keeps():
+    known = {w: (900, 0, None, 0) for w in "the institutions and supervision of banks with controls".split()}
+    known |= {"insti": (0, 1, None, 0), "tutions": (0, 1, None, 0), "super": (3, 0, None, 0), "vision": (4, 0, None, 0), "withcontrols": (0, 1, None, 0), "ofbanks": (0, 0, None, 0), "bauks": (0, 1, None, 0)}
+    read = lambda *ws: [(k, w) for _, k, w in ocr.viterbi([(0, w, False) for w in ws], known, 1e6)]
+    assert read("the", "insti", "tutions") == [("keep", None), ("merge", "institutions")]
+    assert read("super", "vision", "and") == [("merge", "supervision"), ("keep", None)]
+    assert read("withcontrols", "of", "banks") == [("split", "with controls"), ("keep", None), ("keep", None)]
+    assert read("of", "banks") == [("keep", None), ("keep", None)]
+
+
+def test_short_pages_wide_lines_and_broken_words(spark):
+    page = "The management body should monitor certifi-\ned findings before each meet ing. The manage-\nment body should monitor find-\nings and monitor the findings before each"
+    wide = page + "\nmeeting. " + "The body should monitor findings " * 4 + "before\neach meeting before the management body should\nmonitor findings."
+    clean = CLEAN + "The body should monitor the findings. " * 10
+    df = spark.createDataFrame([(1, page), (2, wide), *((3 + k, clean) for k in range(20))], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in ocr.repaired(df).collect()}
+    assert set(got) == {1, 2}
+    assert got[1]["text"].startswith("The management body should monitor certified findings before each meeting. The management body should monitor findings and")
+    assert {(x["line_no"], x["kind"]) for x in got[1]["lines"]} == {(1, "hyphen"), (2, "hyphen"), (3, "hyphen")}
+
+
 def test_scan_odd_input(spark, odd_docs, no_docs):
     assert ocr.repaired(odd_docs).count() == 0 and ocr.repaired(no_docs).count() == 0
 
