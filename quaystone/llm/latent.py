@@ -225,10 +225,12 @@ def _numbered(passages: list[str], vocabulary: dict[str, int], grow: bool):
 
 
 def similar_passages(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "id", query_text: str = "text", cosine: float = COSINE, least: float = 0.5, window: int = WINDOW, step: int = STEP, features: int = FEATURES, rank: int = RANK, model=None) -> DataFrame:
-    """(doc_id, query_id, similarity, shared): best passage pair of each document and stated record.
+    """(doc_id, query_id, similarity, shared, answered): best passage pair of each document and stated record.
 
     ``shared`` is the longest common subsequence over the record passage's words,
     at least ``least``; all pairs of passages above ``cosine`` are checked.
+    ``answered`` is the answer check: the share of the record passage's figures
+    (words with a digit) that the document's passage holds too, 1 if it has none.
     """
     spark = docs.sparkSession
     fitted = model or fit(docs, doc_text, features, rank, window, step)
@@ -237,7 +239,7 @@ def similar_passages(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id"
     left = materialise(_embedded(asked, "qid", "qt", shared, window, step, features), "latent-queries")
     right = _embedded(docs.select(F.col(doc_id).alias("did"), F.col(doc_text).alias("dt")), "did", "dt", shared, window, step, features)
     d_kind, q_kind = docs.schema[doc_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-    schema = f"`{doc_id}` {d_kind}, `{query_id}` {q_kind}, similarity double, shared double"
+    schema = f"`{doc_id}` {d_kind}, `{query_id}` {q_kind}, similarity double, shared double, answered double"
 
     def best_pairs(doc_block, query_block):
         import numpy as np
@@ -266,8 +268,9 @@ def similar_passages(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id"
                     shares = np.array([common_subsequence(qwords[y].split(" "), dwords[a + x].split(" ")) / sizes[y] for x, y in zip(i, j)])
                 for x, y, part in zip(i, j, shares):
                     key = (dids[a + x], qids[y])
-                    if part >= least and (key not in best or (part, scores[x, y]) > best[key]):
-                        best[key] = (float(part), float(scores[x, y]))
+                    if part >= least and (key not in best or (part, scores[x, y]) > best[key][:2]):
+                        figures = {w for w in qwords[y].split(" ") if not w.isalpha()}
+                        best[key] = (float(part), float(scores[x, y]), len(figures.intersection(dwords[a + x].split(" "))) / len(figures) if figures else 1.0)
         return best
 
     def emitted(best, d_type, q_type):
@@ -275,8 +278,8 @@ def similar_passages(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id"
 
         keys = list(best)
         return pa.RecordBatch.from_arrays(
-            [pa.array([x for x, _ in keys], d_type), pa.array([x for _, x in keys], q_type), pa.array([best[x][1] for x in keys], pa.float64()), pa.array([best[x][0] for x in keys], pa.float64())],
-            [doc_id, query_id, "similarity", "shared"],
+            [pa.array([x for x, _ in keys], d_type), pa.array([x for _, x in keys], q_type), pa.array([best[x][1] for x in keys], pa.float64()), pa.array([best[x][0] for x in keys], pa.float64()), pa.array([best[x][2] for x in keys], pa.float64())],
+            [doc_id, query_id, "similarity", "shared", "answered"],
         )
 
     size = left.agg(F.sum(F.length("vectors") + F.aggregate("words", F.lit(0).cast("bigint"), lambda n, w: n + F.length(w)))).first()[0] or 0
@@ -308,4 +311,4 @@ def similar_passages(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id"
                     yield emitted(best_pairs(row[:3], row[3:]), *types)
 
         found = pairs.mapInArrow(search, schema)
-    return found.groupBy(doc_id, query_id).agg(F.max_by("similarity", F.struct("shared", "similarity")).alias("similarity"), F.max("shared").alias("shared"))
+    return found.groupBy(doc_id, query_id).agg(F.max(F.struct("shared", "similarity", "answered")).alias("x")).select(doc_id, query_id, "x.similarity", "x.shared", "x.answered")

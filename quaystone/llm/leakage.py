@@ -5,7 +5,9 @@ blocked Bloom filter of the grams, of a size fixed by parameter, is put together
 by a distributed OR over its 64-bit blocks and broadcast. Each document is read
 once, its grams are hashed by vector operations, and only those that pass the
 filter are shuffled, to an equi-join on both hashes. The filter only saves
-shuffle: the result is the same if it lets everything pass.
+shuffle: the result is the same if it lets everything pass. Grams are joined by the
+class of records that hold them, so that a passage that a third of all documents
+and records share is expanded once.
 
 Latent semantic retrieval alone can't give this result: a run of 12 words in a
 document of thousands hardly moves a passage vector, and the result asks for all
@@ -135,5 +137,9 @@ def leaks(docs: DataFrame, held_out: DataFrame, doc_id: str = "doc_id", doc_text
     grams = materialise(_emit(texts, "rid", "t", length, "rid").distinct(), "grams")
     sieve = spark.sparkContext.broadcast(bloom(grams, grams.count(), max_blocks))
     passed = _emit(docs.select(F.col(doc_id).alias("did"), F.col(doc_text).alias("t")), "did", "t", length, "did", sieve)
-    found = passed.distinct().join(grams, ["h1", "h2"]).select(F.col("did").alias(doc_id), F.col("rid").alias(record_id))
-    return found.distinct()
+    # grams that the same records hold are one class: a passage that many documents and records share is met once, not once a gram
+    held = materialise(grams.groupBy("h1", "h2").agg(F.bit_xor(F.xxhash64("rid")).alias("c1"), F.bit_xor(F.xxhash64("rid", F.lit(7))).alias("c2"), F.count("*").alias("n")), "gram-classes")
+    first = held.groupBy("c1", "c2", "n").agg(F.min(F.struct("h1", "h2")).alias("g")).select("c1", "c2", "n", "g.h1", "g.h2")
+    members = first.join(grams, ["h1", "h2"]).select("c1", "c2", "n", "rid")
+    met = passed.join(held, ["h1", "h2"]).select("did", "c1", "c2", "n").distinct()
+    return met.join(members, ["c1", "c2", "n"]).select(F.col("did").alias(doc_id), F.col("rid").alias(record_id)).distinct()

@@ -60,3 +60,11 @@ def test_bounded_sample(spark):
     rows = sample.bounded(df, "doc_id", ["doc_id"], 500, 1)
     assert 400 < len(rows) < 600 and rows == sample.bounded(df.repartition(7), "doc_id", ["doc_id"], 500, 1)
     assert len(sample.bounded(df, "doc_id", ["doc_id"], 10**6, 1)) == 20_000 and sample.bounded(df.limit(0), "doc_id", ["doc_id"], 5, 1) == []
+
+
+def test_answer_check(spark):
+    text = "in 2019 the ratio of the second line rose to 14 percent while all other limits of the group stayed flat as planned"
+    docs = spark.createDataFrame([(1, text), (2, text.replace("2019", "2021").replace("14", "15")), (3, text.replace("14", "15"))], "doc_id bigint, text string")
+    records = spark.createDataFrame([("r1", text)], "id string, text string")
+    got = {r["doc_id"]: r["answered"] for r in latent.similar_passages(docs, records, features=1 << 8, rank=8, cosine=-1.0).collect()}
+    assert got == {1: 1.0, 2: 0.0, 3: 0.5}
