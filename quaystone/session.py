@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where neither the session nor its context names one (tests, local
-    runs) a temporary folder is made and set.
+    Only where neither the session nor its context names one, and everything runs
+    in one JVM (tests, local runs), a temporary folder is made and set; on a
+    cluster that is an error, as no machine's own folder is seen by the others.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -21,6 +23,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     set_before = context._jsc.sc().getCheckpointDir()
     if set_before.isDefined():
         return set_before.get().rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="quaystone-")
     context.setCheckpointDir(made)
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
