@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import re
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quaystone.functions import text as T
@@ -57,38 +61,36 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def backing_off(text: str, size: int, overlap: int, least: float = 0.6) -> list[str]:
-    """Slices that end at a blank line, sentence or clause if one lies beyond ``least`` of the size."""
-    out, at = [], 0
-    while at < len(text):
-        end = min(at + size, len(text))
-        if end < len(text):
-            stop = max(text.rfind(mark, at, end) for mark in ("\n\n", ". ", "; "))
-            if stop - at > int(size * least):
-                end = stop + 1
-        if piece := text[at:end].strip():
-            out.append(piece)
-        if end == len(text):
-            break
-        at = max(end - overlap, 0)
-    return out
+    """Slices that end at a blank line, sentence or clause if one lies beyond ``least`` of the size.
+
+    All places a slice may end at are found once; each slice then looks up the last
+    one within its reach.
+    """
+    ends = [m.start() + 1 for m in re.finditer(r"(?=\n\n|\. |; )", text)]
+    spans = [(0, 0)]
+    while spans[-1][1] < len(text):
+        first, last = spans[-1]
+        # the next slice starts ``overlap`` before the end of this one, and never where this one did
+        start = max(last - overlap, first + 1) if len(spans) > 1 else 0
+        stop = min(start + size, len(text))
+        reach = ends[: bisect.bisect_right(ends, stop - 1)][-1:] if stop < len(text) else []
+        spans.append((start, reach[0] if reach and reach[0] - start > int(size * least) + 1 else stop))
+    return [piece for a, b in spans if (piece := text[a:b].strip())]
 
 
 def packed(segments: list[str], size: int, overlap: int) -> list[str]:
-    """Segments joined by blank lines up to ``size``; the last ones that fit ``overlap`` open the next chunk."""
-    out, now = [], []
-    length = lambda xs: sum(map(len, xs)) + 2 * max(0, len(xs) - 1)
-    for s in segments:
-        if now and length([*now, s]) > size:
-            out.append("\n\n".join(now))
-            keep: list[str] = []
-            if overlap > 0:
-                for old in reversed(now):
-                    if keep and length([old, *keep]) > overlap:
-                        break
-                    keep = [old, *keep]
-            now = keep
-        now.append(s)
-    return out + (["\n\n".join(now)] if now else [])
+    """Segments joined by blank lines up to ``size``; the last ones that fit ``overlap`` open the next chunk.
+
+    Works on running lengths: a chunk is a range of segments, so both its end and
+    the start of the next one are binary searches.
+    """
+    upto = list(itertools.accumulate((len(s) + 2 for s in segments), initial=0))  # segments [i, j) joined: upto[j] - upto[i] - 2
+    out, first, taken = [], 0, 0
+    while taken < len(segments):
+        taken = max(taken + 1, bisect.bisect_right(upto, upto[first] + size + 2) - 1)
+        out.append("\n\n".join(segments[first:taken]))
+        first = max(first, min(taken - 1, bisect.bisect_left(upto, upto[taken] - 2 - overlap))) if overlap > 0 else taken
+    return out
 
 
 def folded(docs: DataFrame, cut, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,14 +114,10 @@ def boundary_aware(docs: DataFrame, size: int = 1200, overlap: int = 200, **cols
 
 def segments(docs: DataFrame, size: int = 1200, overlap: int = 200, **cols) -> DataFrame:
     """Paragraphs packed with whole-segment overlap."""
-    import re
-
     return folded(docs, lambda t: packed([p for p in ("\n".join(x.strip() for x in q.split("\n") if x.strip()) for q in re.split(r"\n[^\S\n]*\n", t)) if p], size, overlap), **cols)
 
 
 def _sentence_list(text: str) -> list[str]:
-    import re
-
     return [x for x in re.split(r"(?<=[.!?])\s+(?=[A-ZА-Я])", text.strip()) if x]
 
 
@@ -189,7 +187,6 @@ def by_section(blocks: DataFrame, most: int = 1200, overlap: int = 150, id_col:
 
 def hashed_vector(text: str, size: int = 256):
     """A bag of hashed words, unit length: a stand-in where no embedding model is plugged in."""
-    import re
     import zlib
 
     import numpy as np
@@ -242,11 +239,10 @@ def paragraphs(docs: DataFrame, most: int = 900, least: int = 200, **cols) -> Da
 
 def numbered_paragraphs(docs: DataFrame, low: int = 220, high: int = 1300, window: int = 380, most_numbers: int = 18, **cols) -> DataFrame:
     """Paragraphs for citation: short ones and those full of numbers dropped, long ones cut into windows of sentences."""
-    import re
 
     def cut(text: str) -> list[str]:
         out = []
-        for p in text.split("\n\n"):
+        for p in re.split(r"\n[^\S\n]*\n", text):
             p = " ".join(p.split())
             if len(p) < low or len(re.findall(r"\d+(?:[.,]\d+)?", p)) >= most_numbers:
                 continue

@@ -54,7 +54,7 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "v
                 q = np.frombuffer(qv, np.float32).reshape(len(qi), -1).astype(np.float64)
                 nx, nq = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
                 size = nq[:, None] * nx[None, :]
-                scores = np.round(np.divide(q @ x.T, size, out=np.zeros_like(size), where=size > 0) + 1.3e-9, digits)
+                scores = np.round(np.divide(q @ x.T, size, out=np.zeros_like(size), where=size > 0), digits)
                 scores[qi[:, None] == ids[None, :]] = -np.inf
                 order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
                 best = np.take_along_axis(scores, order, 1)
@@ -103,7 +103,7 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, query_id: str, query_text: s
     """
     asked = queries.where(F.col(query_text).isNotNull()).select(F.col(query_id).alias("q"), F.explode(words(F.col(query_text))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
     if asked.count() > BROADCAST_TERMS:
-        scored = bm25(queries, docs, query_id, query_text, doc_id, doc_text, k1, b, floor).withColumn("score", F.round(F.col("score") + 1.3e-9, digits))
+        scored = bm25(queries, docs, query_id, query_text, doc_id, doc_text, k1, b, floor).withColumn("score", F.round("score", digits)).where("score <> 0")
         return top_k(scored, query_id, [F.desc("score"), doc_id], k)
     tokens = docs.where(F.col(doc_text).isNotNull()).select(words(F.col(doc_text)).alias("ts"))
     size = tokens.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))  # one row
@@ -158,7 +158,7 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, query_id: str, query_text: s
                         else:
                             total[d, w[1]] += w[0] * tf * (k1 + 1) / (tf + base) * w[2]
                 total = total @ matrix if dense else total
-                total = np.round(total + np.where(total != 0, 1.3e-9, 0.0), digits)
+                total = np.round(total, digits)
                 order = np.argsort(np.array(ids.to_pylist()), kind="stable")  # equal scores by id
                 ranked = total[order]
                 best = np.argsort(-ranked, axis=0, kind="stable")[:k]

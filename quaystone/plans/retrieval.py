@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quaystone.functions import text as T
 from quaystone.operators import metrics, retrieval
 from quaystone.plans.evaluation import r6
 from quaystone.plans.registry import query
 from quaystone.sources.tables import table
 
 _VECTORS = """scores AS (SELECT q.vec_id AS query_id, c.vec_id AS id, q.label AS ql, c.label AS cl,
-round(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(c.embedding[i] AS DOUBLE))) / nullif(sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(c.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 0), 6) AS score
+round(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(c.embedding[i] AS DOUBLE))) / nullif(sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(c.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 0), CAST(6 AS INT)) AS score
 FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id), hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scores) WHERE rank <= 10)"""
 
 
@@ -57,7 +58,7 @@ st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok), un AS (SELECT doc_
 raw AS (SELECT term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, st GROUP BY 1), me AS (SELECT avg(idf) AS mean_idf FROM raw),
 idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * mean_idf ELSE idf END AS idf FROM raw, me),
 qt AS (SELECT id, term, count(*) AS qtf FROM (SELECT id, unnest(list_filter(regexp_split_to_array(lower(query), '[ \\t\\n\\r\\x0B\\f]+'), lambda t: t <> '')) AS term FROM questions_finreg WHERE query IS NOT NULL) GROUP BY 1, 2),
-bm AS (SELECT id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN tf USING (term) JOIN idf USING (term), st GROUP BY 1, 2),
+bm AS (SELECT id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), CAST(6 AS INT)) AS score FROM qt JOIN tf USING (term) JOIN idf USING (term), st GROUP BY 1, 2),
 br AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 20)"""
 
 
@@ -119,7 +120,7 @@ def dedupe_keep_first(spark, d):
     return retrieval.keep_first(hits, ["id", "source"], ["rank"]).select("id", "source", "doc_id", "rank")
 
 
-_STOP = "('a','an','and','are','as','at','be','by','do','for','from','how','in','is','of','on','or','the','to','under','when','with')"
+_STOP = "(" + ",".join(f"'{w}'" for w in T.TITLE_STOPWORDS) + ")"
 
 
 @query(f"""WITH {_BM25}, j AS (SELECT br.id, br.doc_id, br.score, br.rank, q.query, x.text, x.title FROM br JOIN questions_finreg q USING (id) JOIN documents x ON x.doc_id = br.doc_id WHERE regexp_matches(x.text, '[^ \\t\\n\\r\\x0B\\f]')),
