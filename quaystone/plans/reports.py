@@ -288,7 +288,7 @@ def source_citations(spark, d):
     return kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("t")))), lambda x: x["t"]), "; ").alias("sources"))
 
 
-@query("""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, trim(line) AS line FROM p WHERE trim(line) <> '') SELECT doc_id, count(*) AS lines, count(*) FILTER (regexp_matches(line, '^[a-z]') OR split_part(lower(line), ' ', 1) IN ('and', 'or', 'but', 'which', 'that')) AS mid_sentence FROM l GROUP BY 1""")
+@query("""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, trim(line, ' ') AS line FROM p WHERE trim(line, ' ') <> '') SELECT doc_id, count(*) AS lines, count(*) FILTER (regexp_matches(line, '^[a-z]') OR split_part(lower(line), ' ', 1) IN ('and', 'or', 'but', 'which', 'that')) AS mid_sentence FROM l GROUP BY 1""")
 def mid_sentence_starts(spark, d):
     lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc_id", F.trim("line").alias("line")).where("line <> ''")
     mid = F.col("line").rlike("^[a-z]") | F.split_part(F.lower("line"), F.lit(" "), F.lit(1)).isin("and", "or", "but", "which", "that")
