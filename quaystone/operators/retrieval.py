@@ -30,13 +30,73 @@ def _packed(rows: DataFrame, id_col: str, vec_col: str, per_block: int) -> tuple
     return placed.groupBy("block").applyInArrow(pack, "block int, ids binary, vectors binary"), n
 
 
+#: Size of the stated query vectors up to which they are sent to every task.
+BROADCAST_BYTES = 64 << 20
+
+
+def _best(scores, ids, k: int):
+    """Columns of the ``k`` largest of each row, equal ones by id."""
+    import numpy as np
+
+    return np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+
+
+def _cosines(q, x, qi, ids, digits: int):
+    """Rounded cosines of all queries with all rows, minus infinity for a query itself."""
+    import numpy as np
+
+    size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+    scores = np.round(np.divide(q @ x.T, size, out=np.zeros_like(size), where=size > 0), digits)
+    scores[qi[:, None] == ids[None, :]] = -np.inf
+    return scores
+
+
+def _scanned(held: DataFrame, corpus: DataFrame, k: int, id_col: str, vec_col: str, digits: int, rows: int = 512) -> DataFrame:
+    """(query_id, id, score): the best ``k`` a query of each task of the corpus."""
+    import numpy as np
+
+    found = held.collect()  # BROADCAST_BYTES at most
+    qi = np.array([r["id"] for r in found], np.int64)
+    sent = corpus.sparkSession.sparkContext.broadcast((qi, np.array([r["v"] for r in found], np.float32).reshape(len(qi), -1)))
+
+    def search(batches):
+        import pyarrow as pa
+
+        qi, q = sent.value
+        best: list = [None] * len(range(0, len(qi), rows))
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(ids):
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
+            for n, at in enumerate(range(0, len(qi), rows)):
+                own = slice(at, at + rows)
+                scores, names = _cosines(q[own].astype(np.float64), x, qi[own], ids, digits), np.broadcast_to(ids, (len(qi[own]), len(ids)))
+                if best[n] is not None:
+                    scores, names = np.concatenate((best[n][0], scores), 1), np.concatenate((best[n][1], names), 1)
+                keep = _best(scores, names, k)
+                best[n] = np.take_along_axis(scores, keep, 1), np.take_along_axis(names, keep, 1)
+        for n, at in enumerate(range(0, len(qi), rows)):
+            if best[n] is not None:
+                scores, names = best[n]
+                ok = np.isfinite(scores)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi[at : at + rows], ok.sum(1))), pa.array(names[ok]), pa.array(scores[ok])], ["query_id", "id", "score"])
+
+    return corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("bigint"), vec_col).mapInArrow(search, "query_id bigint, id bigint, score double")
+
+
 def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", per_block: int = 4096, digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank): exact cosine neighbours of every query, itself left out.
 
-    Both sides are packed into blocks; every pair of blocks is one matrix product
-    whose result is cut to ``k`` a query before it leaves the task. Scores are
-    rounded before they are ranked, equal ones by id.
+    Queries of up to ``BROADCAST_BYTES`` go to the tasks that scan the corpus, each
+    of which passes on its best ``k`` a query: the corpus is not shuffled. Beyond
+    that both sides are packed into blocks, and every pair of blocks is one matrix
+    product cut to ``k`` a query. Scores are rounded before they are ranked, equal
+    ones by id.
     """
+    held = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v"))
+    if (held.agg(F.sum(F.size("v"))).first()[0] or 0) * 4 <= BROADCAST_BYTES:
+        return top_k(_scanned(held, corpus, k, id_col, vec_col, digits), "query_id", [F.desc("score"), "id"], k)
     left, n_left = _packed(queries, id_col, vec_col, per_block)
     right, _ = _packed(corpus, id_col, vec_col, per_block)
     left = left.select(F.col("block").alias("qb"), F.col("ids").alias("qi"), F.col("vectors").alias("qv"))
@@ -52,11 +112,8 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "v
                 ids, qi = np.frombuffer(ids, np.int64), np.frombuffer(qi, np.int64)
                 x = np.frombuffer(vectors, np.float32).reshape(len(ids), -1).astype(np.float64)
                 q = np.frombuffer(qv, np.float32).reshape(len(qi), -1).astype(np.float64)
-                nx, nq = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-                size = nq[:, None] * nx[None, :]
-                scores = np.round(np.divide(q @ x.T, size, out=np.zeros_like(size), where=size > 0), digits)
-                scores[qi[:, None] == ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                scores = _cosines(q, x, qi, ids, digits)
+                order = _best(scores, ids, k)
                 best = np.take_along_axis(scores, order, 1)
                 keep = np.isfinite(best)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, keep.sum(1))), pa.array(ids[order][keep]), pa.array(best[keep])], ["query_id", "id", "score"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quaystone.functions import text as T
 from quaystone.functions.numeric import argmax, clamp01, entropy, softmax
@@ -54,16 +54,18 @@ def context_statistics(rows: DataFrame, by: str, e: str, n: str, c: str) -> Data
     rows = rows.withColumns({"_l": label, "_m": F.least(e, c), "_t": ordered[0] - ordered[1], "_u": 1 - ordered[0], "_s": F.greatest(F.lit(0.0), F.col(c) - F.col(n))})
     out = rows.groupBy(by).agg(
         F.count("*").alias("contexts"), *[F.avg(x).alias(f"{k}_mean") for k, x in zip(names, (e, n, c))], F.stddev_pop(c).alias("contradiction_std"), F.max(e).alias("support_max"),
-        F.avg("_m").alias("conflict_mass"), F.avg("_t").alias("top2_margin"), F.avg("_u").alias("uncertainty"), F.avg("_s").alias("support"), F.sort_array(F.collect_list(c), asc=False).alias("_cs"),
+        F.avg("_m").alias("conflict_mass"), F.avg("_t").alias("top2_margin"), F.avg("_u").alias("uncertainty"), F.avg("_s").alias("support"),
         *[F.avg((F.col("_l") == x).cast("double")).alias(f"share_{x}") for x in names],
     )
-    half = F.ceil(F.size("_cs") / 2).cast("int")
+    # the larger half by counted values and running counts: no group is gathered in one row
+    w = Window.partitionBy(by)
+    counted = rows.groupBy(by, F.col(c).alias("_v")).agg(F.count("*").alias("_k"))
+    counted = counted.withColumn("_before", F.coalesce(F.sum("_k").over(w.orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_half", F.ceil(F.sum("_k").over(w) / 2))
+    taken = F.greatest(F.lit(0), F.least(F.col("_k"), F.col("_half") - F.col("_before")))
+    top = counted.groupBy(F.col(by).alias("_by")).agg((F.sum(F.col("_v") * taken) / F.max("_half")).alias("contradiction_top_half"))
     shares = [F.col(f"share_{x}") for x in names]
-    return out.withColumns({
-        "contradiction_top_half": F.aggregate(F.slice("_cs", F.lit(1), half), F.lit(0.0), lambda a, x: a + x) / half,
-        "label_entropy": entropy(shares),
-        "disagreement": 1 - F.greatest(*shares),
-    }).drop("_cs")
+    out = out.withColumns({"label_entropy": entropy(shares), "disagreement": 1 - F.greatest(*shares)})
+    return out.join(top, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
 
 
 def repetition(rows: DataFrame, text: str, n: int = 3) -> DataFrame:

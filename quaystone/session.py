@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders written by this process, by application.
+_written: dict[str, list[str]] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
@@ -39,16 +43,15 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/quaystone-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table made by ``materialise`` once nothing reads it any more."""
-    spark = df.sparkSession
-    root = checkpoint_dir(spark)
+def drop_tables(spark: SparkSession) -> int:
+    """Delete every table that ``materialise`` wrote for this application; call it once their results are stored."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
     jvm = spark.sparkContext._jvm
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if "/quaystone-" in folder and folder.split("/quaystone-")[0].replace("file://", "").endswith(root.replace("file://", "").rstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
