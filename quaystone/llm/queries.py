@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quaystone.llm import boilerplate, langid, latent, leakage, nearjoin, ocr, packing, pairs, sentences, splits, splitting, tokenize
+from quaystone.llm import boilerplate, langid, latent, leakage, nearjoin, ocr, packing, pairs, sentences, splits, splitting, sql, tokenize
 from quaystone.session import materialise
 from quaystone.sources.tables import table
 
@@ -92,4 +92,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
