@@ -43,21 +43,27 @@ def passages(sents: DataFrame, width: int = 3, low: int = 220, high: int = 900,
     return kept.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_doc).select(id_col, "sent_no", "passage")
 
 
-def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", page: str | None = None) -> DataFrame:
     """(id, block_no, heading, block): paragraphs joined from their lines under the last heading seen.
 
-    Gaps and islands per document: blank lines and headings close a block.
+    Gaps and islands per document: blank lines and headings close a block. Lines
+    that match ``page``, such as ``^\\[Page [0-9]+\\]$``, close one too and set the
+    page of those that follow, a column that is there only then.
     """
     lines = docs.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line")).withColumn("line", T.squeeze("line"))
     w = Window.partitionBy(id_col).orderBy("pos")
-    kind = F.when(F.col("line") == "", "blank").when(T.is_heading(F.col("line")), "heading").otherwise("text")
+    kind = F.when(F.col("line") == "", "blank")
+    kind = (kind.when(F.col("line").rlike(page), "page") if page else kind).when(T.is_heading(F.col("line")), "heading").otherwise("text")
     marked = lines.withColumn("kind", kind)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("heading", F.last(F.when(F.col("kind") == "heading", F.col("line")), ignorenulls=True).over(so_far))
-    marked = marked.withColumn("island", F.sum(F.when(F.col("kind") != "text", 1).otherwise(0)).over(so_far)).where("kind = 'text'")
-    blocks = marked.groupBy(id_col, "island").agg(F.min("pos").alias("first"), F.max("heading").alias("heading"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
+    marked = marked.withColumn("island", F.sum(F.when(F.col("kind") != "text", 1).otherwise(0)).over(so_far))
+    held = [F.last(F.when(F.col("kind") == "page", F.regexp_extract("line", "([0-9]+)[^0-9]*$", 1).cast("int")), ignorenulls=True).over(so_far).alias("page")] if page else []
+    marked = marked.select("*", *held)
+    kept = [F.max("page").alias("page")] if page else []
+    blocks = marked.where("kind = 'text'").groupBy(id_col, "island").agg(F.min("pos").alias("first"), *kept, F.max("heading").alias("heading"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
     joined = F.array_join(F.transform("ls", lambda x: x["line"]), " ")
-    return blocks.select(id_col, F.row_number().over(Window.partitionBy(id_col).orderBy("first")).alias("block_no"), "heading", joined.alias("block"))
+    return blocks.select(id_col, F.row_number().over(Window.partitionBy(id_col).orderBy("first")).alias("block_no"), *(["page"] if page else []), "heading", joined.alias("block"))
 
 
 def backing_off(text: str, size: int, overlap: int, least: float = 0.6) -> list[str]:
@@ -117,6 +123,17 @@ def segments(docs: DataFrame, size: int = 1200, overlap: int = 200, **cols) -> D
     return folded(docs, lambda t: packed([p for p in ("\n".join(x.strip() for x in q.split("\n") if x.strip()) for q in re.split(r"\n[^\S\n]*\n", t)) if p], size, overlap), **cols)
 
 
+def by_strategy(docs: DataFrame, strategy: str, size: int = 1200, overlap: int = 200, **cols) -> DataFrame:
+    """Chunks by a named strategy: ``fixed`` or ``structure_aware``, each also ``_small``: half the size, at least 400, a quarter of it overlapping at most."""
+    kind, _, small = strategy.partition("_small")
+    if strategy.endswith("_small"):
+        size = max(400, size // 2)
+        overlap = min(overlap, size // 4)
+    if kind not in ("fixed", "structure_aware") or small:
+        raise ValueError(f"unknown strategy {strategy}")
+    return (fixed if kind == "fixed" else segments)(docs, size, overlap, **cols)
+
+
 def _sentence_list(text: str) -> list[str]:
     return [x for x in re.split(r"(?<=[.!?])\s+(?=[A-ZА-Я])", text.strip()) if x]
 

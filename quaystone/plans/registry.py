@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from quaystone.plans import datasets, evaluation, files, lexical, reports, reshape, retrieval, samples, texts  # noqa: F401
+    from quaystone.plans import curation, datasets, evaluation, files, lexical, reports, reshape, retrieval, samples, texts  # noqa: F401
 
 
 def queries() -> dict:

@@ -72,12 +72,22 @@ def heading_lines(spark, d):
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(T.is_heading(F.col("line"))).alias("headings"))
 
 
-@query("""WITH l AS (SELECT doc_id, i, trim(regexp_replace(p[i], '""" + _B + """+', ' ', 'g'), ' ') AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL), unnest(range(1, len(p) + 1)) u(i)),
+_SECTIONS = """WITH l AS (SELECT doc_id, i, trim(regexp_replace(p[i], '""" + _B + """+', ' ', 'g'), ' ') AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL), unnest(range(1, len(p) + 1)) u(i)),
 w AS (SELECT *, list_filter(string_split(line, ' '), lambda x: x <> '') AS ws FROM l),
 k AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN length(line) <= 120 AND NOT regexp_matches(line, '[.?!;:]$') AND (regexp_matches(line, '^[0-9]+(\\.[0-9]+)*[.)]? +[A-Z]') OR (len(ws) BETWEEN 2 AND 12 AND len(list_filter(ws, lambda x: regexp_matches(x, '^[0-9]+$'))) = 0 AND len(list_filter(ws, lambda x: regexp_matches(x, '^[A-Z]'))) >= greatest(2, len(ws) - 1))) THEN 'heading' ELSE 'text' END AS kind FROM w),
 s AS (SELECT *, last_value(CASE WHEN kind = 'heading' THEN line END IGNORE NULLS) OVER x AS heading, sum(CASE WHEN kind <> 'text' THEN 1 ELSE 0 END) OVER x AS island FROM k WINDOW x AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
 b AS (SELECT doc_id, min(i) AS f, max(heading) AS heading, string_agg(line, ' ' ORDER BY i) AS block FROM s WHERE kind = 'text' GROUP BY doc_id, island)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY f) AS block_no, heading, md5(block) AS digest FROM b""")
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY f) AS block_no, heading, md5(block) AS digest FROM b"""
+
+
+def section_blocks_sql(page: str) -> str:
+    """The SQL of the section blocks with page lines, which set the page and close a block."""
+    marked = _SECTIONS.replace("CASE WHEN line = '' THEN 'blank'", f"CASE WHEN line = '' THEN 'blank' WHEN regexp_matches(line, '{page}') THEN 'page'")
+    marked = marked.replace("AS heading, sum(", "AS heading, last_value(CASE WHEN kind = 'page' THEN CAST(regexp_extract(line, '([0-9]+)$', 1) AS INT) END IGNORE NULLS) OVER x AS page, sum(")
+    return marked.replace("max(heading) AS heading,", "max(heading) AS heading, max(page) AS page,").replace("block_no, heading,", "block_no, page, heading,")
+
+
+@query(_SECTIONS)
 def section_blocks(spark, d):
     return chunking.sections(docs(spark, d)).select("doc_id", "block_no", "heading", F.md5("block").alias("digest"))
 
