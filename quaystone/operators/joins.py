@@ -41,11 +41,18 @@ def insert_absent(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
 
 
 def related_pairs(rows: DataFrame, id_col: str, tags: str, different: str, per_pair: int | None = None) -> DataFrame:
-    """(id_a, id_b, shared): unordered pairs of different ``different`` that share a tag; equal tags meet by equi-join only."""
+    """(id_a, id_b, shared): unordered pairs of different ``different`` that share a tag; equal tags meet by equi-join only.
+
+    With ``per_pair``, only that many pairs of each two values of ``different``: those that share most, then by id.
+    """
     spread = rows.select(F.col(id_col).alias("id"), F.col(different).alias("d"), F.explode(F.array_distinct(tags)).alias("tag"))
     left, right = (spread.select("tag", F.col("id").alias(f"id_{s}"), F.col("d").alias(f"d_{s}")) for s in "ab")
     pairs = left.join(right, "tag").where((F.col("id_a") < F.col("id_b")) & (F.col("d_a") != F.col("d_b")))
-    return pairs.groupBy("id_a", "id_b").agg(F.count("*").alias("shared"))
+    counted = pairs.groupBy("id_a", "id_b", "d_a", "d_b").agg(F.count("*").alias("shared"))
+    if per_pair is not None:
+        w = Window.partitionBy(F.least("d_a", "d_b"), F.greatest("d_a", "d_b")).orderBy(F.desc("shared"), "id_a", "id_b")
+        counted = counted.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_pair)
+    return counted.select("id_a", "id_b", "shared")
 
 
 def paired(rows: DataFrame, keys: list[str], variant: str, a: str, b: str, values: list[str]) -> DataFrame:
@@ -70,7 +77,34 @@ def keep_last(rows: DataFrame, key: str, order: str, cols: list[str]) -> DataFra
     return picked.select(key, "x.*")
 
 
-def neighbours(rows: DataFrame, by: str, order: str, value: str, sep: str = " ") -> Column:
-    """Previous, own and next value of a row in its group, joined."""
-    w = Window.partitionBy(by).orderBy(order)
-    return F.concat_ws(sep, F.lag(value).over(w), value, F.lead(value).over(w))
+def _ranged(rows: DataFrame, order: str, ranges: int) -> DataFrame:
+    """Adds ``_r``: one of ``ranges`` equal ranges of a numeric ``order``, so that a hot group is split among tasks."""
+    edges = rows.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))  # one row
+    part = (F.col(order) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1)) * (ranges - 1)
+    return rows.crossJoin(F.broadcast(edges)).withColumn("_r", F.coalesce(F.floor(part), F.lit(0))).drop("_lo", "_hi")
+
+
+def neighbours(rows: DataFrame, by: str, order: str, value: str, out: str, sep: str = " ", ranges: int = 64) -> DataFrame:
+    """Adds ``out``: previous, own and next value of a row in its group, joined; values that are null are left out.
+
+    Windows run within ranges of ``order``; the ends of a range look up the nearest
+    range of their group that has rows.
+    """
+    placed = _ranged(rows, order, ranges)
+    own, group = Window.partitionBy(by, "_r").orderBy(order), Window.partitionBy("_by").orderBy("_range")
+    ends = placed.groupBy(F.col(by).alias("_by"), F.col("_r").alias("_range")).agg(F.min_by(F.struct(value), order).alias("_f"), F.max_by(F.struct(value), order).alias("_l"))
+    ends = ends.select("_by", "_range", F.lag("_l").over(group)[value].alias("_before"), F.lead("_f").over(group)[value].alias("_after"))
+    near = placed.withColumns({"_p": F.lag(F.struct(value)).over(own), "_n": F.lead(F.struct(value)).over(own)})
+    near = near.join(ends, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_r") == F.col("_range")))
+    side = lambda inside, outside: F.when(F.col(inside).isNotNull(), F.col(inside)[value]).otherwise(F.col(outside))
+    return near.withColumn(out, F.concat_ws(sep, side("_p", "_before"), value, side("_n", "_after"))).select(*rows.columns, out)
+
+
+def running_before(rows: DataFrame, by: str, order: str, value: str, out: str, ranges: int = 64) -> DataFrame:
+    """Adds ``out``: the sum of the values before a row in its group, 0 for the first; sums within ranges plus those of the ranges before."""
+    placed = _ranged(rows, order, ranges)
+    own, group = Window.partitionBy(by, "_r").orderBy(order), Window.partitionBy("_by").orderBy("_range")
+    sums = placed.groupBy(F.col(by).alias("_by"), F.col("_r").alias("_range")).agg(F.sum(value).alias("_s"))
+    sums = sums.select("_by", "_range", F.coalesce(F.sum("_s").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = F.coalesce(F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("_i", inner).join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_r") == F.col("_range"))).withColumn(out, F.col("_i") + F.col("_before")).select(*rows.columns, out)

@@ -107,16 +107,8 @@ def histogram(rows: DataFrame, value: str, bins: int = 20) -> DataFrame:
     return full.join(found, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def distribution(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, n, min, p25, p50, p75, max, mean, pstdev): linearly interpolated quantiles."""
-    return rows.where(F.col(value).isNotNull()).groupBy(by).agg(
-        F.count("*").alias("n"), F.min(value).alias("min"), F.percentile(value, F.lit(0.25)).alias("p25"), F.percentile(value, F.lit(0.5)).alias("p50"),
-        F.percentile(value, F.lit(0.75)).alias("p75"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("pstdev"),
-    )
-
-
-def nearest_rank_quantiles(rows: DataFrame, by: str, value: str, qs: tuple[float, ...] = (0.1, 0.5, 0.9), ranges: int = 256) -> DataFrame:
-    """(by, n, q..): values at round((n - 1) q), half to even.
+def counted_upto(rows: DataFrame, by: str, value: str, ranges: int = 256) -> DataFrame:
+    """(by, v, upto, n): how many of a group's ``n`` values are at most each of its distinct values.
 
     Values are counted before anything is ordered; running counts go over the
     distinct values of one of ``ranges`` equal ranges of a group, plus the counts
@@ -130,7 +122,28 @@ def nearest_rank_quantiles(rows: DataFrame, by: str, value: str, qs: tuple[float
     group = Window.partitionBy("_by")
     before = sums.select("_by", "_range", F.coalesce(F.sum("s").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("s").over(group).alias("n"))
     upto = F.sum("c").over(Window.partitionBy(by, "_r").orderBy("v"))
-    ordered = placed.withColumn("upto", upto).join(before, own_group & (F.col("_r") == F.col("_range"))).select(by, "v", (F.col("upto") + F.col("_before")).alias("upto"), "n")
+    return placed.withColumn("upto", upto).join(before, own_group & (F.col("_r") == F.col("_range"))).select(by, "v", (F.col("upto") + F.col("_before")).alias("upto"), "n")
+
+
+def quantiles(rows: DataFrame, by: str, value: str, qs: dict[str, float]) -> DataFrame:
+    """(by, ...): linearly interpolated quantiles under their names, from running counts of distinct values."""
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    place = {name: (F.col("n") - 1) * F.lit(float(q)) for name, q in qs.items()}
+    found = counted_upto(rows, by, value).groupBy(by).agg(F.max("n").alias("_n"), *[c for name, x in place.items() for c in (at(F.floor(x)).alias(f"_lo_{name}"), at(F.ceil(x)).alias(f"_hi_{name}"))])
+    part = lambda q: (F.col("_n") - 1) * F.lit(float(q)) - F.floor((F.col("_n") - 1) * F.lit(float(q)))
+    return found.select(by, *[(F.col(f"_lo_{name}") + part(q) * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name) for name, q in qs.items()])
+
+
+def distribution(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, min, p25, p50, p75, max, mean, pstdev): linearly interpolated quantiles."""
+    plain = rows.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("pstdev"))
+    cuts = quantiles(rows, by, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).withColumnRenamed(by, "_group")
+    return plain.join(cuts, F.col(by).eqNullSafe(F.col("_group"))).select(by, "n", "min", "p25", "p50", "p75", "max", "mean", "pstdev")
+
+
+def nearest_rank_quantiles(rows: DataFrame, by: str, value: str, qs: tuple[float, ...] = (0.1, 0.5, 0.9), ranges: int = 256) -> DataFrame:
+    """(by, n, q..): values at round((n - 1) q), half to even."""
+    ordered = counted_upto(rows, by, value, ranges)
     return ordered.groupBy(by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * F.lit(q)), F.col("v"))).alias(f"q{int(q * 100)}") for q in qs])
 
 

@@ -147,6 +147,43 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, do
     return scored.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "score")
 
 
+def bm25_candidates(candidates: DataFrame, query: str, doc: str, text: str, content: str, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+    """(query, doc, score) of given candidates (query, doc, query text, content), each list a corpus of its own.
+
+    Idf, mean idf and mean length are those of a query's candidates; an idf below
+    zero becomes ``floor`` times the mean one. Candidates that share no token score
+    0 and stay. Lists are as long as the caller makes them; each row is one pair.
+    """
+    rows = candidates.select(query, doc, words(F.coalesce(F.col(text), F.lit(""))).alias("_q"), words(F.coalesce(F.col(content), F.lit(""))).alias("_d"))
+    size = rows.groupBy(query).agg(F.count("*").alias("_n"), F.avg(F.size("_d")).alias("_avg"))
+    counted = rows.select(query, doc, F.size("_d").alias("_dl"), F.explode("_d").alias("term")).groupBy(query, doc, "_dl", "term").agg(F.count("*").alias("_tf"))
+    df = counted.groupBy(query, "term").agg(F.count("*").alias("_df")).join(size, query)
+    raw = df.withColumn("_idf", F.ln(F.col("_n") - F.col("_df") + 0.5) - F.ln(F.col("_df") + 0.5))
+    mean = raw.groupBy(query).agg(F.avg("_idf").alias("_mean"))
+    idf = raw.join(mean, query).select(query, "term", "_avg", F.when(F.col("_idf") < 0, F.lit(floor) * F.col("_mean")).otherwise(F.col("_idf")).alias("_w"))
+    asked = rows.select(query, doc, F.explode("_q").alias("term")).groupBy(query, doc, "term").agg(F.count("*").alias("_times"))
+    own = asked.join(counted, [query, doc, "term"]).join(idf, [query, "term"])
+    part = F.col("_times") * F.col("_w") * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_dl") / F.col("_avg")))
+    scored = own.groupBy(query, doc).agg(F.sum(part).alias("score"))
+    return rows.select(query, doc).join(scored, [query, doc], "left").fillna(0.0, ["score"])
+
+
+def score_with(rows: DataFrame, query: str, content: str, score, out: str = "score") -> DataFrame:
+    """Adds ``out`` by a plug-in: ``score(queries, contents) -> scores`` over Arrow batches; an earlier one is kept as ``original_score``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = [batch.schema.get_field_index(c) for c in (query, content)]
+            found = score(*(batch.column(i).to_pylist() for i in at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([float(x) for x in found], pa.float64())], [*batch.schema.names, out])
+
+    kept = rows.withColumnRenamed(out, "original_score") if out in rows.columns else rows
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return kept.mapInArrow(run, f"{kinds}, `{out}` double")
+
+
 #: Distinct (query, term) rows up to which a question set is broadcast to the tasks that score it.
 BROADCAST_TERMS = 2_000_000
 

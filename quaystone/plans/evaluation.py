@@ -120,7 +120,8 @@ SELECT CASE WHEN u_epi >= me THEN 'high' ELSE 'low' END AS epistemic, CASE WHEN
 FROM newest, m WHERE u_epi IS NOT NULL AND u_ale IS NOT NULL GROUP BY 1, 2""")
 def uncertainty_quadrants(spark, d):
     rows = newest(spark, d, "u_epi", "u_ale", "is_abstain").where("u_epi is not null and u_ale is not null")
-    cut = rows.agg(F.percentile("u_epi", F.lit(0.5)).alias("me"), F.percentile("u_ale", F.lit(0.5)).alias("ma"))  # one row
+    one = rows.withColumn("all", F.lit(1))
+    cut = metrics.quantiles(one, "all", "u_epi", {"me": 0.5}).join(metrics.quantiles(one, "all", "u_ale", {"ma": 0.5}), "all").select("me", "ma")  # one row
     side = lambda x, m: F.when(F.col(x) >= F.col(m), "high").otherwise("low")
     return rows.crossJoin(F.broadcast(cut)).groupBy(side("u_epi", "me").alias("epistemic"), side("u_ale", "ma").alias("aleatoric")).agg(F.count("*").alias("n"), F.count_if("is_abstain").alias("abstained"))
 

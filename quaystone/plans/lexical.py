@@ -145,15 +145,14 @@ def carried_page_numbers(spark, d):
 SELECT detail_no, concat_ws(' ', lag(action) OVER w, action, lead(action) OVER w) AS actions FROM o WINDOW w AS (PARTITION BY id ORDER BY detail_no)""")
 def neighbour_context(spark, d):
     rows = newest(spark, d, "id", "action").where("id is not null")
-    return rows.select("detail_no", joins.neighbours(rows, "id", "detail_no", "action").alias("actions"))
+    return joins.neighbours(rows, "id", "detail_no", "action", "actions").select("detail_no", "actions")
 
 
 @query(f"""WITH {NEWEST}, b AS (SELECT id, action, detail_no, sum(k_used) OVER (PARTITION BY id ORDER BY detail_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM newest WHERE id IS NOT NULL)
 SELECT id, count(*) AS kept FROM b WHERE coalesce(before, 0) < 40 GROUP BY 1""")
 def running_budget(spark, d):
     rows = newest(spark, d, "id", "k_used").where("id is not null")
-    before = F.sum("k_used").over(Window.partitionBy("id").orderBy("detail_no").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < 40).groupBy("id").agg(F.count("*").alias("kept"))
+    return joins.running_before(rows, "id", "detail_no", "k_used", "before").where("before < 40").groupBy("id").agg(F.count("*").alias("kept"))
 
 
 @query("""WITH b AS (SELECT unnest(['entailment', 'neutral', 'contradiction', 'absent']) AS bucket), s AS (SELECT bucket, i AS slot FROM b, range(1, 5 + 1) r(i)),

@@ -134,6 +134,33 @@ def feature_rerank(spark, d):
     return out.select("id", "doc_id", r6("final_score", "final_score"))
 
 
+_SPLIT = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[ \\t\\n\\r\\x0B\\f]+'), lambda t: t <> '')"
+
+
+@query(f"""WITH {_BM25}, {_OVERLAP}, c AS (SELECT o.id, o.doc_id, {_SPLIT.format('q.query')} AS q, {_SPLIT.format('x.text')} AS d FROM orank o JOIN questions_finreg q USING (id) JOIN documents x USING (doc_id)), z AS (SELECT id, count(*) AS n, avg(len(d)) AS a FROM c GROUP BY 1),
+f AS (SELECT id, term, count(*) AS df FROM (SELECT id, unnest(list_distinct(d)) AS term FROM c) GROUP BY 1, 2), w AS (SELECT id, term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM f JOIN z USING (id)), m AS (SELECT id, avg(idf) AS mean FROM w GROUP BY 1),
+i AS (SELECT id, term, CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END AS idf FROM w JOIN m USING (id)), t AS (SELECT id, doc_id, term, len(d) AS dl, len(list_filter(d, lambda x: x = term)) AS tf FROM (SELECT *, unnest(q) AS term FROM c)),
+s AS (SELECT id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM t JOIN i USING (id, term) JOIN z USING (id) WHERE tf > 0 GROUP BY 1, 2) SELECT c.id, c.doc_id, round(coalesce(score, 0), 6) AS score FROM c LEFT JOIN s USING (id, doc_id)""")
+def bm25_of_candidates(spark, d):
+    docs, questions = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "questions_finreg").select("id", "query")
+    hits = _overlap(spark, d).select("id", "doc_id").join(docs, "doc_id").join(questions, "id")
+    return retrieval.bm25_candidates(hits, "id", "doc_id", "query", "text").select("id", "doc_id", r6("score", "score"))
+
+
+@query(f"""WITH {_BM25}, j AS (SELECT br.id, br.doc_id, br.score, br.rank, q.query, x.text, x.title, x.page_count FROM br JOIN questions_finreg q USING (id) JOIN documents x ON x.doc_id = br.doc_id WHERE regexp_matches(x.text, '[^ \\t\\n\\r\\x0B\\f]')),
+k AS (SELECT *, list_distinct({_SPLIT.format('query')}) AS qs, list_distinct({_SPLIT.format('text')}) AS ds, list_distinct(list_filter(regexp_extract_all(lower(coalesce(query, '')), '[a-z0-9]+', 0), lambda t: length(t) > 2 AND t NOT IN {_STOP})) AS qk, list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+', 0), lambda t: length(t) > 2 AND t NOT IN {_STOP})) AS tk,
+len({_SPLIT.format('text')}) AS n, min(score) OVER (PARTITION BY id) AS lo, max(score) OVER (PARTITION BY id) AS hi FROM j)
+SELECT id, doc_id, round(0.54 * coalesce(len(list_intersect(qs, ds)) / nullif(sqrt(len(qs) * len(ds)), 0), 0) + 0.2 * CASE WHEN hi = lo THEN 0 ELSE (score - lo) / (hi - lo) END + 0.1 / log2(3 + rank - 1) + 0.07 * ln(1 + coalesce(page_count, 0)) + 0.03 * (1 - exp(-n / 120.0)) + 0.06 * CASE WHEN len(qk) = 0 THEN 0 ELSE len(list_intersect(qk, tk)) / len(qk) END, 6) AS final_score FROM k""")
+def full_feature_rerank(spark, d):
+    """The reranker with all six features: word cosine stands in for a model's similarity, pages for evidence."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "title", F.coalesce("page_count", F.lit(0)).alias("pages"))
+    hits = _bm25(spark, d).join(docs, "doc_id").join(table(spark, d, "questions_finreg").select("id", "query"), "id").withColumn("position", F.col("rank") - 1)
+    q, c = F.array_distinct(retrieval.words(F.coalesce("query", F.lit("")))), F.array_distinct(retrieval.words(F.col("text")))
+    hits = hits.withColumn("alike", F.coalesce(F.try_divide(F.size(F.array_intersect(q, c)).cast("double"), F.sqrt((F.size(q) * F.size(c)).cast("double"))), F.lit(0.0)))
+    out = retrieval.rerank_features(hits, "id", "query", "text", "title", "score", "position", "alike", "pages")
+    return out.select("id", "doc_id", r6("final_score", "final_score"))
+
+
 @query(f"""WITH {_BM25} SELECT q.type, count(DISTINCT b.id) AS questions, count(*) AS hits, count(DISTINCT b.doc_id) AS documents, round(avg(b.score), 6) AS score, round(avg(CASE WHEN l.theme IS NULL THEN 0.0 ELSE 1.0 END), 6) AS labelled
 FROM br b JOIN questions_finreg q USING (id) LEFT JOIN (SELECT id, min(theme) AS theme FROM question_labels GROUP BY 1) l USING (id) WHERE rank <= 5 GROUP BY 1""")
 def flagship_grounding(spark, d):

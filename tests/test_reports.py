@@ -64,3 +64,54 @@ def test_written_tables_are_dropped(spark):
     session.drop_tables(spark)
     df = session.materialise(spark.range(5).withColumn("x", F.lit(1)))
     assert df.count() == 5 and session.drop_tables(spark) == 1 and session.drop_tables(spark) == 0
+
+
+def test_split_windows_equal_plain_ones(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    from quaystone.operators import joins, metrics
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "a", "b", None]), i, rng.choice([None, "x", "y"]), rng.choice([None, 1, 2, 5]), rng.choice([0.1, 0.25, 0.5, 0.9])) for i in rng.sample(range(1000), 120)]
+    df = spark.createDataFrame(rows, "g string, o int, v string, k int, s double")
+    w = Window.partitionBy("g").orderBy("o")
+    plain = df.withColumn("c", F.concat_ws(" ", F.lag("v").over(w), "v", F.lead("v").over(w))).withColumn("b", F.coalesce(F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    want = sorted((r["o"], r["c"], r["b"]) for r in plain.collect())
+    for ranges in (1, 7, 64):
+        got = joins.running_before(joins.neighbours(df, "g", "o", "v", "c", ranges=ranges), "g", "o", "k", "b", ranges=ranges)
+        assert sorted((r["o"], r["c"], r["b"]) for r in got.collect()) == want
+    exact = {r["g"]: (r["m"], r["q"]) for r in df.groupBy("g").agg(F.percentile("s", F.lit(0.5)).alias("m"), F.percentile("s", F.lit(0.9)).alias("q")).collect()}
+    near = {r["g"]: (r["m"], r["q"]) for r in metrics.quantiles(df, "g", "s", {"m": 0.5, "q": 0.9}).collect()}
+    assert {k: tuple(round(x, 9) for x in v) for k, v in near.items()} == {k: tuple(round(x, 9) for x in v) for k, v in exact.items()}
+    assert joins.neighbours(df.limit(0), "g", "o", "v", "c").count() == 0
+
+
+def test_most_related_pairs_of_each_two_values(spark):
+    from quaystone.operators import joins
+
+    df = spark.createDataFrame([(1, "x", ["a", "b"]), (2, "y", ["a", "b"]), (3, "y", ["b"]), (4, "z", ["b"])], "id int, d string, t array<string>")
+    assert sorted(map(tuple, joins.related_pairs(df, "id", "t", "d").collect())) == [(1, 2, 2), (1, 3, 1), (1, 4, 1), (2, 4, 1), (3, 4, 1)]
+    assert sorted(map(tuple, joins.related_pairs(df, "id", "t", "d", per_pair=1).collect())) == [(1, 2, 2), (1, 4, 1), (2, 4, 1)]
+
+
+def test_plugged_in_scores_keep_the_original(spark):
+    df = spark.createDataFrame([("1", "ankara capital", "Ankara is the capital", 0.3), ("1", "ankara capital", "Inflation rose", 0.9)], "id string, q string, c string, score double")
+    shared = lambda qs, cs: [len(set(q.lower().split()) & set(c.lower().split())) for q, c in zip(qs, cs)]
+    rows = retrieval.top_k(retrieval.score_with(df, "q", "c", shared), "id", [F.desc("score"), "c"], 1).collect()
+    assert [(r["c"], r["original_score"], r["score"]) for r in rows] == [("Ankara is the capital", 0.3, 2.0)]
+
+
+def test_reranker_weighs_meaning_above_the_retriever(spark):
+    df = spark.createDataFrame([("1", "q", "Ankara", "t", 0.3, 0, 1.0, 0), ("1", "q", "Inflation", "t", 0.9, 1, 0.0, 0), ("1", "q", " ", "t", 0.9, 2, 1.0, 9)], "id string, q string, c string, t string, s double, p int, m double, e int")
+    out = retrieval.rerank_features(df, "id", "q", "c", "t", "s", "p", "m", "e").orderBy(F.desc("final_score")).collect()
+    assert [r["c"] for r in out] == ["Ankara", "Inflation"]
+    tie = retrieval.rerank_features(df.where("p < 2").withColumn("m", F.lit(0.5)), "id", "q", "c", "t", "s", "p", "m", "e").orderBy(F.desc("final_score")).collect()
+    assert tie[0]["c"] == "Inflation"
+
+
+def test_candidates_are_a_corpus_of_their_own(spark):
+    df = spark.createDataFrame([("1", 1, "red fox", "a red fox runs"), ("1", 2, "red fox", "a dog sleeps"), ("2", 1, None, "a red fox runs"), ("1", 3, "red fox", None)], "id string, d int, q string, c string")
+    got = {(r["id"], r["d"]): r["score"] for r in retrieval.bm25_candidates(df, "id", "d", "q", "c").collect()}
+    assert got[("1", 1)] > 0 and got[("1", 2)] == got[("1", 3)] == got[("2", 1)] == 0
