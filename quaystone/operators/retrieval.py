@@ -199,15 +199,17 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, query_id: str, query_text: s
     if asked.count() > BROADCAST_TERMS:
         scored = bm25(queries, docs, query_id, query_text, doc_id, doc_text, k1, b, floor).withColumn("score", F.round("score", digits)).where("score <> 0")
         return top_k(scored, query_id, [F.desc("score"), doc_id], k)
-    tokens = docs.where(F.col(doc_text).isNotNull()).select(words(F.col(doc_text)).alias("ts"))
-    size = tokens.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))  # one row
-    df = tokens.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(size)).withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     from quaystone.session import materialise
 
-    idf = materialise(idf.select("term", "idf", "avgdl"), "idf")
-    mean, avgdl = idf.agg(F.avg("idf"), F.max("avgdl")).first()
-    found = asked.join(idf.select("term", "idf"), "term").collect()  # BROADCAST_TERMS rows at most
+    # one pass: the null term of every document counts documents and tokens
+    tokens = docs.where(F.col(doc_text).isNotNull()).select(words(F.col(doc_text)).alias("ts"))
+    terms = tokens.select(F.size("ts").alias("dl"), F.explode(F.concat(F.array_distinct("ts"), F.array(F.lit(None).cast("string")))).alias("term"))
+    df = materialise(terms.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl")), "df")
+    n, total = df.where("term is null").agg(F.sum("df"), F.sum("dl")).first()
+    n, avgdl = n or 0, (total or 0) / n if n else 0.0
+    idf = df.where("term is not null").select("term", (F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
+    mean = idf.agg(F.avg("idf")).first()[0] or 0.0
+    found = asked.join(idf, "term").collect()  # BROADCAST_TERMS rows at most
     names = sorted({r["q"] for r in found})
     place = {q: i for i, q in enumerate(names)}
     rows: dict[str, tuple[float, list[int], list[int]]] = {}
