@@ -147,6 +147,60 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, do
     return scored.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "score")
 
 
+def overlap_top_k(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, k: int) -> DataFrame:
+    """(query_id, doc_id, shared, rank): the ``k`` documents of every query that hold most of its distinct words.
+
+    A question set of up to ``BROADCAST_TERMS`` words goes to the tasks that scan the
+    documents, so that a common word makes no pair outside them; a larger one is
+    joined by word.
+    """
+    side = lambda df, i, t, n: df.where(F.col(t).isNotNull()).select(F.col(i).alias(n), F.explode(F.array_distinct(words(F.col(t)))).alias("term"))
+    asked = side(queries, query_id, query_text, "q").distinct()
+    order = [F.desc("shared"), doc_id]
+    if asked.count() > BROADCAST_TERMS:
+        met = asked.join(side(docs, doc_id, doc_text, "d"), "term").groupBy(F.col("q").alias(query_id), F.col("d").alias(doc_id)).agg(F.count("*").alias("shared"))
+        return top_k(met, query_id, order, k)
+    found = asked.collect()  # BROADCAST_TERMS rows at most
+    names = sorted({r["q"] for r in found})
+    place = {q: i for i, q in enumerate(names)}
+    columns: dict[str, list[int]] = {}
+    for r in found:
+        columns.setdefault(r["term"], []).append(place[r["q"]])
+    held = docs.sparkSession.sparkContext.broadcast((names, columns))
+
+    def count(batches):
+        import re
+
+        import numpy as np
+        import pyarrow as pa
+
+        names, columns = held.value
+        columns = {t: np.array(qs) for t, qs in columns.items()}
+        split = re.compile(r"[^ \t\n\r\x0b\f]+").findall
+        step = max(k, 4_000_000 // max(1, len(names)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                ids, total = part.column(0), np.zeros((part.num_rows, len(names)), np.int32)
+                for d, text in enumerate(part.column(1).to_pylist()):
+                    for t in set(split(text)):
+                        if (qs := columns.get(t)) is not None:
+                            total[d, qs] += 1
+                by_id = np.argsort(np.array(ids.to_pylist()), kind="stable")
+                best = np.argsort(-total[by_id], axis=0, kind="stable")[:k]
+                values = np.take_along_axis(total[by_id], best, 0)
+                keep = values > 0
+                qi = np.broadcast_to(np.arange(len(names)), best.shape)[keep]
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in qi], batch_type), ids.take(pa.array(by_id[best[keep]])), pa.array(values[keep].astype(np.int64))], [query_id, doc_id, "shared"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    batch_type = to_arrow_type(queries.schema[query_id].dataType)
+    kinds = [queries.schema[query_id].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()]
+    lowered = docs.where(F.col(doc_text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id), F.lower(doc_text).alias("_t"))
+    return top_k(lowered.mapInArrow(count, f"`{query_id}` {kinds[0]}, `{doc_id}` {kinds[1]}, shared bigint"), query_id, order, k)
+
+
 def bm25_candidates(candidates: DataFrame, query: str, doc: str, text: str, content: str, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """(query, doc, score) of given candidates (query, doc, query text, content), each list a corpus of its own.
 

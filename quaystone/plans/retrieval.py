@@ -76,11 +76,7 @@ orank AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s
 
 
 def _overlap(spark, d, k=20):
-    questions, docs = table(spark, d, "questions_finreg"), table(spark, d, "documents")
-    q = questions.where("query is not null").select("id", F.explode(F.array_distinct(retrieval.words(F.col("query")))).alias("term"))
-    # a question set's words go to the documents, and only documents' distinct words travel
-    c = docs.where("text is not null").select("doc_id", F.explode(F.array_distinct(retrieval.words(F.col("text")))).alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    return retrieval.top_k(q.join(c, "term").groupBy("id", "doc_id").agg(F.count("*").alias("shared")), "id", [F.desc("shared"), "doc_id"], k)
+    return retrieval.overlap_top_k(table(spark, d, "questions_finreg").select("id", "query"), table(spark, d, "documents").select("doc_id", "text"), "id", "query", "doc_id", "text", k)
 
 
 @query(f"WITH {_BM25}, {_OVERLAP} SELECT id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT id, doc_id, rank FROM br UNION ALL SELECT id, doc_id, rank FROM orank) GROUP BY 1, 2")

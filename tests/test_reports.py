@@ -115,3 +115,17 @@ def test_candidates_are_a_corpus_of_their_own(spark):
     df = spark.createDataFrame([("1", 1, "red fox", "a red fox runs"), ("1", 2, "red fox", "a dog sleeps"), ("2", 1, None, "a red fox runs"), ("1", 3, "red fox", None)], "id string, d int, q string, c string")
     got = {(r["id"], r["d"]): r["score"] for r in retrieval.bm25_candidates(df, "id", "d", "q", "c").collect()}
     assert got[("1", 1)] > 0 and got[("1", 2)] == got[("1", 3)] == got[("2", 1)] == 0
+
+
+def test_word_overlap_either_way(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(30)] + ["the"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 12))) if i % 9 else None) for i in range(80)], "doc_id bigint, text string").repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", "The " + " ".join(rng.choice(vocabulary) for _ in range(4)) if i else None) for i in range(7)], "id string, query string")
+    run = lambda: sorted(map(tuple, retrieval.overlap_top_k(asked, docs, "id", "query", "doc_id", "text", 5).select("id", "doc_id", "shared", "rank").collect()))
+    sent = run()
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", -1)
+    assert sent and run() == sent
+    assert retrieval.overlap_top_k(asked.limit(0), docs, "id", "query", "doc_id", "text", 5).count() == 0
