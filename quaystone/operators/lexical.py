@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quaystone.functions import text as T
@@ -73,15 +76,87 @@ def token_f1(a, b) -> Column:
     return F.when(shared == 0, F.lit(0.0)).otherwise(2.0 * shared / (F.size(x) + F.size(y)))
 
 
-def most_similar(rows: DataFrame, old: DataFrame, id_col: str, text_col: str, old_id: str, old_text: str) -> DataFrame:
-    """(id, old_id, similarity): the most similar old text by Jaccard, over pairs that share a word (an equi-join, no cross join)."""
-    side = lambda df, i, t, n: df.where(F.col(t).isNotNull()).select(F.col(i).alias(n), F.array_distinct(_words(F.col(t))).alias("ws"))
+#: Words of the texts that are sent to the tasks at once, and old texts that a task scores at once.
+BLOCK_WORDS, OLD_ROWS = 2_000_000, 65_536
+
+
+def most_similar(rows: DataFrame, old: DataFrame, id_col: str, text_col: str, old_id: str, old_text: str, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(id, old_id, similarity): the most similar old text by Jaccard, over pairs that share a word.
+
+    The texts go in blocks of about ``block_words`` words to the tasks that scan the
+    old ones, each of which passes on its best one a text: no pair leaves its task,
+    however common the word it shares.
+    """
+    side = lambda df, i, t, n: df.where(F.col(t).isNotNull()).select(F.col(i).alias(n), F.array_distinct(_words(F.col(t))).alias("ws")).where(F.size("ws") > 0)
     a, b = side(rows, id_col, text_col, "a"), side(old, old_id, old_text, "b")
-    spread = lambda df, n: df.select(n, F.size("ws").alias(f"n_{n}"), F.explode("ws").alias("w"))
-    shared = spread(a, "a").join(spread(b, "b"), "w").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("s"))
-    scored = shared.withColumn("similarity", F.col("s") / (F.col("n_a") + F.col("n_b") - F.col("s")))
-    w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(F.col("a").alias(id_col), F.col("b").alias("old_id"), "similarity")
+    blocks = max(1, math.ceil((a.agg(F.sum(F.size("ws"))).first()[0] or 0) / block_words))
+    block = F.pmod(F.xxhash64("ws"), F.lit(blocks))
+    scored = functools.reduce(DataFrame.union, [_scored(a.where(block == k), b) for k in range(blocks)])
+    best = scored.groupBy("a").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "b")).alias("x"))
+    return best.select(F.col("a").alias(id_col), F.col("x.b").alias("old_id"), (-F.col("x.s")).alias("similarity"))
+
+
+def _scored(asked: DataFrame, old: DataFrame) -> DataFrame:
+    """(a, b, similarity): for each group of old texts of a task, the best of them for each text that is asked for."""
+    held = old.sparkSession.sparkContext.broadcast(asked.toArrow())
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = held.value
+        n = table.num_rows
+        lists = pa.concat_arrays(table.column("ws").chunks) if n else pa.array([], pa.list_(pa.string()))
+        flat = lists.flatten().dictionary_encode()
+        codes, sizes = flat.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(flat.dictionary)))])
+        holders = np.repeat(np.arange(n), sizes)[np.argsort(codes, kind="stable")]
+        # the 64 most common words are one bit each, so that only the others are counted text by text
+        common = np.argsort(-np.diff(starts), kind="stable")[:64]
+        bit_of = np.zeros(len(flat.dictionary), np.uint64)
+        bit_of[common] = np.uint64(1) << np.arange(len(common), dtype=np.uint64)
+        bits = np.zeros(n, np.uint64)
+        np.bitwise_or.at(bits, np.repeat(np.arange(n), sizes), bit_of[codes])
+
+        def best_of(part):
+            ids, words = part.column(0), part.column(1)
+            rank = np.empty(len(ids), np.int64)
+            rank[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+            lengths = pc.list_value_length(words).to_numpy().astype(np.int64)
+            ends = np.cumsum(lengths)
+            own = pc.fill_null(pc.index_in(words.flatten(), flat.dictionary), -1).to_numpy()
+            bit = np.where(own < 0, np.uint64(0), bit_of[own])
+            shown = np.zeros(len(ids), np.uint64)
+            np.bitwise_or.at(shown, np.repeat(np.arange(len(ids)), lengths), bit)
+            rare = (own >= 0) & (bit == 0)
+            best, who, held_rank, last = np.full(n, 1e-300), np.full(n, -1), np.zeros(n, np.int64), None
+            for i in np.argsort(shown, kind="stable"):
+                if last is None or shown[i] != last:
+                    last, base = shown[i], np.bitwise_count(bits & shown[i]).astype(np.int64)
+                at = slice(ends[i] - lengths[i], ends[i])
+                met = [holders[starts[w] : starts[w + 1]] for w in own[at][rare[at]]]
+                shared = base + np.bincount(np.concatenate(met), minlength=n) if met else base
+                similarity = shared / (sizes + lengths[i] - shared)
+                over = np.flatnonzero(similarity >= best)
+                over = over[(similarity[over] > best[over]) | (rank[i] < held_rank[over])]
+                best[over], who[over], held_rank[over] = similarity[over], i, rank[i]
+            kept = np.flatnonzero(who >= 0)
+            found = pa.table({"a": table.column("a").take(pa.array(kept)), "b": ids.take(pa.array(who[kept])), "similarity": pa.array(best[kept])})
+            yield from found.combine_chunks().to_batches(max_chunksize=10_000)
+
+        waiting, many = [], 0
+        for batch in batches if n else ():
+            waiting.append(batch)
+            many += batch.num_rows
+            if many >= OLD_ROWS:
+                yield from best_of(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0])
+                waiting, many = [], 0
+        if many:
+            yield from best_of(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0])
+
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((asked, "a"), (old, "b"))]
+    return old.mapInArrow(run, f"a {kinds[0]}, b {kinds[1]}, similarity double")
 
 
 #: Rows of the sample that a row without a partner in its ring may draw from.
