@@ -1,14 +1,15 @@
 """Problem 10: sentence boundaries across languages and scripts.
 
 Characters are tagged as the last of a sentence (boundary) or inside by a linear
-chain with Viterbi decoding within each paragraph. There are no word lists; two
-chains are fitted on bounded samples (``SAMPLE_DOCS``), everything else covers all
-rows and whole texts.
+chain with Viterbi decoding within each paragraph. There are no word lists. Counts
+and both chains come from all rows and whole texts: words are counted in one pass;
+then each block of documents fits its own chains, and a weight is the mean over the
+blocks, by how often each of them met its feature.
 
 * Punctuated text (``marks``): only closing marks with their quotes have a choice,
   all other characters are inside, as are all marks within a quotation. A mark's
   score is log-linear in what stands around it and in word statistics of the
-  sample: how often the word before it goes without a stop, how often the word
+  corpus: how often the word before it goes without a stop, how often the word
   after it is written small, how often it surely begins a sentence. Transition
   scores hang on the distance of two choices and on whether a quotation begins
   right after the one before. All weights are learned together, by the gradient of
@@ -38,10 +39,12 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
 
-from quaystone.llm.sample import bounded
+from quaystone.session import materialise
 
-#: Documents that each model is fitted on: so many of all, and so many with letters that are not Latin.
-SAMPLE_DOCS = 1_000
+#: Documents of a block, which fits chains of its own.
+BLOCK_DOCS = 10_000
+#: Places of one round of fitting: with fewer each round takes all, with more each place comes in one round at least.
+ROUND_PLACES = 60_000
 #: Width of the hashed feature space.
 WIDTH = 1 << 16
 
@@ -52,6 +55,8 @@ _TOKEN = re.compile(r"[^\s(\[{\"“”„«»‘「『—–]+$")
 _FOLLOW = re.compile(r"[\s\"“„«‘「『(\[¿¡  ]*")
 _OPENS = re.compile(r"[\"“„«「『]")
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: A word; an initial keeps its full stop.
+_WRITTEN = re.compile(r"[^\W\d_]{2,}|[^\W\d_]\.?")
 _THAI = r"[ก-ฺเ-๎]"
 _THAI_GAP = re.compile(rf"(?<={_THAI})\s+(?={_THAI})")
 #: Letters of scripts that are written without blanks between words.
@@ -105,7 +110,7 @@ def _level(part: float, whole: float, prior: float = 0.5, weight: float = 1.0) -
 
 
 class Words:
-    """Counts over the sample: word before a stop, words after, and how they are written."""
+    """Counts over the texts: word before a stop, words after, and how they are written."""
 
     def __init__(self):
         self.tokens: Counter = Counter()  # what stands between blanks, without outer marks
@@ -115,22 +120,23 @@ class Words:
         self.starts: dict[str, int] = {}  # after what surely ends a sentence
         self.numbered: dict[str, int] = {}  # before a full stop that a figure follows
 
-    def add(self, par: str) -> None:
-        self.tokens.update([t.strip(_MARKS).lower() for t in par.split()])
-        keys, large = [], []
-        for m in _LETTERS.finditer(par):
-            w = m.group()
+    def add(self, pars: list[str]) -> None:
+        """Counts the words of paragraphs; what is written alike is folded once."""
+        tokens, written = Counter(), Counter()
+        for par in pars:
+            tokens.update(par.split())
+            written.update(_WRITTEN.findall(par))
+        for t, n in tokens.items():
+            self.tokens[t.strip(_MARKS).lower()] += n
+        for w, n in written.items():
             if _DENSE_LETTER.match(w):  # no blanks: two letters stand for the word
-                pairs = [w[i : i + 2] for i in range(len(w) - 1)]
-                keys += pairs
-                large += pairs
+                for pair in (w[i : i + 2] for i in range(len(w.rstrip(".")) - 1)):
+                    self.all[pair] += n
+                    self.large[pair] += n
                 continue
-            key = w.lower() if len(w) > 1 else _folded(par, m)
-            keys.append(key)
+            self.all[w.lower()] += n
             if not w[0].islower():
-                large.append(key)
-        self.all.update(keys)
-        self.large.update(large)
+                self.large[w.lower()] += n
 
     def stops(self, before: str, figure: bool) -> None:
         self.stopped[before] = self.stopped.get(before, 0) + 1
@@ -207,18 +213,14 @@ def places(par: str):
     return out
 
 
-def _sure(par: str, start: int, end: int, mark: str, quote: int | None, words: Words) -> int | None:
-    """The label that a place has for certain or by the statistics of the sample, or None."""
-    after = _FOLLOW.match(par, end).end()
+def _sure(par: str, start: int, end: int, mark: str, quote: int | None, words: Words, after: int, kind: str, tail: str, follower: str) -> int | None:
+    """The label that a place has for certain or by the statistics of the words, or None."""
     if after >= len(par):
         return 1
-    kind = _kind(par[after])
     if kind in ("lower", "comma"):
         return 0
     if quote is not None and _OPENS.search(par, end, after):
         return 1
-    tail = _tail(par, start)
-    follower = _word_at(par, after) if kind in ("upper", "caseless") else ""
     free = words.free(tail)
     everyday = len(tail) >= 3 and tail.isalpha() and free >= 3
     if quote is not None:
@@ -266,7 +268,7 @@ def choices(par: str, words: Words) -> list[Choice]:
         small, begins = (words.small(follower), words.begins(follower)) if follower and not fresh else (go, go)
         figures = words.figures(tail) if kind == "digit" else "-"
         features = ["bias", f"m={mark}", f"h={shape}", f"f={frame}", f"k={go}", f"s={small}", f"b={begins}", f"d={figures}", f"hs={shape}|{small}", f"hb={shape}|{begins}", f"hd={shape}|{figures}", f"fs={frame}|{small}", f"fb={frame}|{begins}", f"fk={frame}|{go}", f"{wide}|{frame}|{begins}"]
-        out.append(Choice(end, features, edges, _sure(par, start, end, mark, quote, words)))
+        out.append(Choice(end, features, edges, _sure(par, start, end, mark, quote, words, after, kind, tail, follower)))
         before = after if after < len(par) and par[after - 1 : after] not in "\"“„«‘「『([" else _skip(par, end)
     out += [Choice(m.start(), ["thai-gap"], [], 1) for m in _THAI_GAP.finditer(par)]
     out.sort(key=lambda c: c.end)
@@ -353,16 +355,28 @@ class Chain:
             ri, rb = ri / z, rb / z
         return out
 
+    def slots(self, features: list[str], edges: list[str]) -> tuple[list[int], list[tuple[int, int, int]]]:
+        return [self.slot(f) for f in features], [tuple(self.slot(e + x) for x in ("|ib", "|bi", "|bb")) for e in edges] if self.transitions else []
+
     def fit(self, sequences: list[list[tuple[list[str], list[str], int | None]]], epochs: int = 4, rate: float = 1.5, seed: int = 11) -> Chain:
         """Averaged stochastic gradient of the partial-label likelihood: clamped minus free expectations."""
+        return self.fit_slots([[(*self.slots(fs, es), y) for fs, es, y in seq] for seq in sequences], epochs, rate, seed)
+
+    def fit_slots(self, sequences: list, epochs: int = 4, rate: float = 1.5, seed: int = 11) -> Chain:
+        """``fit`` on features and edges that are slots; of many places each round takes a share, so that all are taken."""
         import random
 
         order, w, total, steps = random.Random(seed), self.weights, [0.0] * WIDTH, 0
-        slotted = [[([self.slot(f) for f in fs], [tuple(self.slot(e + x) for x in ("|ib", "|bi", "|bb")) for e in es] if self.transitions else [], y) for fs, es, y in seq] for seq in sequences if any(y is not None for _, _, y in seq)]
+        slotted = [seq for seq in sequences if any(y is not None for *_, y in seq)]
+        size = math.ceil(len(slotted) * max(1 / epochs, min(1.0, ROUND_PLACES / max(1, sum(map(len, slotted))))))
+        queue: list = []
         for epoch in range(epochs):
-            order.shuffle(slotted)
+            while slotted and len(queue) < size:
+                order.shuffle(slotted)
+                queue += slotted
+            chunk, queue = queue[:size], queue[size:]
             pace = rate / (1 + 0.5 * epoch)
-            for seq in slotted:
+            for seq in chunk:
                 feats = [fs for fs, _, _ in seq]
                 scores = [math.exp(max(-30.0, min(30.0, sum(w[s] for s in fs)))) for fs in feats]
                 trans = [tuple(math.exp(max(-20.0, min(20.0, sum(w[e[k]] for e in es)))) for k in range(3)) for _, es, _ in seq]
@@ -384,33 +398,69 @@ class Chain:
         return self
 
 
-def train_punctuated(texts: list[str], most: int = 60_000, transitions: bool = True) -> Chain:
-    """The chain of punctuated text, from the sure places of the sample."""
-    words = Words()
-    pars = [par for text in texts for par in _BREAK.split(text) if par and not par.isspace()]
-    for par in pars:
-        words.add(par)
-        for start, end, mark, _ in places(par):
-            if mark == ".":
-                words.stops(_tail(par, start), par[_FOLLOW.match(par, end).end() :][:1].isdigit())
-    for par in pars:
+class Tally:
+    """What ``Words`` are made of, from some of the texts."""
+
+    def __init__(self):
+        self.words = Words()
+        self.beside: set[str] = set()  # words next to a mark, the only ones that are ever asked for
+        self.waiting: Counter = Counter()  # (word before, word after) of stops that end a sentence if the first is an everyday word
+
+    def add(self, pars: list[str]) -> None:
+        self.words.add(pars)
+        for par in pars:
+            self._marks(par)
+
+    def _marks(self, par: str) -> None:
+        words = self.words
         first = _FOLLOW.match(par, 0).end()
         if not par[first : first + 1].islower():
             words.start(_word_at(par, first))
         for start, end, mark, quote in places(par):
             after = _FOLLOW.match(par, end).end()
-            everyday = len(_tail(par, start)) >= 3 and words.free(_tail(par, start)) >= 3
-            if after < len(par) and not par[after].islower() and quote is None and (everyday or mark in "!?。！？｡؟।॥"):
-                words.start(_word_at(par, after))
-    sequences, seen = [], 0
+            tail, follower = _tail(par, start), _word_at(par, after)
+            self.beside.update((tail, follower))
+            if mark == ".":
+                words.stops(tail, par[after : after + 1].isdigit())
+            if after < len(par) and not par[after].islower() and quote is None:
+                if mark in "!?。！？｡؟।॥":
+                    words.start(follower)
+                elif len(tail) >= 3:
+                    self.waiting[tail, follower] += 1
+
+    def settled(self) -> Words:
+        for (tail, follower), n in self.waiting.items():
+            if self.words.free(tail) >= 3:
+                self.words.starts[follower] = self.words.starts.get(follower, 0) + n
+        return self.words
+
+
+def _paragraphs(texts) -> list[str]:
+    return [par for text in texts for par in _BREAK.split(text) if par and not par.isspace()]
+
+
+def _marked(chain: Chain, pars: list[str]) -> list:
+    """Slots and labels of the places of every paragraph; equal places share theirs."""
+    shared: dict = {}
+    out = []
     for par in pars:
-        found = [(c.features, c.edges, c.label) for c in choices(par, words) if c.features != ["thai-gap"]]
-        if found:
-            sequences.append(found)
-            seen += len(found)
-        if seen >= most:
-            break
-    return Chain(words, transitions).fit(sequences)
+        seq = []
+        for c in choices(par, chain.words):
+            if c.features != ["thai-gap"]:
+                key = (*c.features, *c.edges)
+                held = shared.get(key) or shared.setdefault(key, chain.slots(c.features, c.edges))
+                seq.append((*held, c.label))
+        if seq:
+            out.append(seq)
+    return out
+
+
+def train_punctuated(texts: list[str], transitions: bool = True) -> Chain:
+    """The chain of punctuated text, from the sure places of the texts."""
+    pars, tally = _paragraphs(texts), Tally()
+    tally.add(pars)
+    chain = Chain(tally.settled(), transitions)
+    return chain.fit_slots(_marked(chain, pars))
 
 
 def _around(run: str, i: int) -> list[str]:
@@ -419,26 +469,58 @@ def _around(run: str, i: int) -> list[str]:
     return ["bias", *(f"a{k}{a[-k:]}" for k in (1, 2, 3, 4, 6)), *(f"b{k}{b[:k]}" for k in (1, 2, 3, 4, 6)), f"ab{a[-2:]}|{b[:2]}"]
 
 
-def train_unpunctuated(texts: list[str], most: int = 40_000, transitions: bool = True) -> Chain:
-    """The chain of unpunctuated scripts, from text whose marks and blanks between letters were stripped."""
-    sequences, seen = [], 0
-    for text in texts:
-        for par in _BREAK.split(text):
-            parts = _DENSE_GAP.split(par)
-            if len(parts) < 2:
-                continue
-            run, ends = "".join(parts), set()
-            at = 0
-            for p in parts[:-1]:
-                at += len(p)
-                ends.add(at)
-            found = [(_around(run, i), ["step"], int(i in ends)) for i in range(1, len(run)) if _DENSE_PAIR.match(run, i - 1)]
-            if found:
-                sequences.append(found)
-                seen += len(found)
-        if seen >= most:
-            break
-    return Chain(None, transitions).fit(sequences, epochs=4, rate=3.0)
+class _Slots(dict):
+    """Slots of the features of one kind, kept by what follows the name of the kind."""
+
+    def __init__(self, kind: str):
+        super().__init__()
+        self.kind = kind
+
+    def __missing__(self, rest: str) -> int:
+        slot = _slot(self.kind + rest)
+        if len(self) < 200_000:
+            self[rest] = slot
+        return slot
+
+
+_BIAS = _slot("bias")
+_A, _B = {k: _Slots(f"a{k}") for k in (1, 2, 3)}, {k: _Slots(f"b{k}") for k in (1, 2, 3)}
+_AB = _Slots("ab")
+
+
+def _around_slots(framed: str, i: int) -> list[int]:
+    """Slots of ``_around``; ``framed`` has six marks more on either side."""
+    m = i + 6
+    return [
+        _BIAS, _A[1][framed[m - 1 : m]], _A[2][framed[m - 2 : m]], _A[3][framed[m - 3 : m]], _slot("a4" + framed[m - 4 : m]), _slot("a6" + framed[m - 6 : m]),
+        _B[1][framed[m : m + 1]], _B[2][framed[m : m + 2]], _B[3][framed[m : m + 3]], _slot("b4" + framed[m : m + 4]), _slot("b6" + framed[m : m + 6]),
+        _AB[framed[m - 2 : m] + "|" + framed[m : m + 2]],
+    ]
+
+
+def _stripped(chain: Chain, pars: list[str]) -> list:
+    """Slots and labels of the places between letters of text whose marks and blanks between letters were stripped."""
+    out, (_, step) = [], chain.slots([], ["step"])
+    for par in pars:
+        parts = _DENSE_GAP.split(par)
+        if len(parts) < 2:
+            continue
+        run, ends = "".join(parts), set()
+        at = 0
+        for p in parts[:-1]:
+            at += len(p)
+            ends.add(at)
+        framed = "▸" * 6 + run + "◂" * 6
+        seq = [(_around_slots(framed, i), step, int(i in ends)) for i in range(1, len(run)) if _DENSE_PAIR.match(run, i - 1)]
+        if seq:
+            out.append(seq)
+    return out
+
+
+def train_unpunctuated(texts: list[str], transitions: bool = True) -> Chain:
+    """The chain of unpunctuated scripts."""
+    chain = Chain(None, transitions)
+    return chain.fit_slots(_stripped(chain, _paragraphs(texts)), rate=3.0)
 
 
 def _unmarked_ends(par: str, marked: set[int], letters: Chain) -> list[int]:
@@ -491,19 +573,79 @@ def sentence_spans(text: str | None, marks: Chain, letters: Chain | None = None)
     return out
 
 
-def models(docs: DataFrame, id_col: str, text_col: str, sample_docs: int = SAMPLE_DOCS) -> tuple[Chain, Chain]:
-    """Both chains, fitted on about ``sample_docs`` documents of all and as many that hold letters that are not Latin."""
-    rows = docs.where(F.length(text_col) > 0)
-    take = lambda df: [r["t"] for r in bounded(df, id_col, [F.col(text_col).alias("t")], sample_docs, 5)]
-    other = take(rows.where(F.col(text_col).rlike(r"[\x{0370}-\x{1DFF}\x{3040}-\x{D7FF}]{3}")))
-    every = take(rows)
-    mixed = [t for pair in itertools.zip_longest(every, other) for t in pair if t]
-    return train_punctuated(mixed), train_unpunctuated(other)
+#: Counts of ``Words``, in the order of their rows.
+_COUNTS = ("tokens", "all", "large", "stopped", "starts", "numbered")
+_BESIDE, _WAITING = len(_COUNTS), len(_COUNTS) + 1
+
+
+def corpus_words(rows: DataFrame, text_col: str) -> Words:
+    """The counts of all texts, for every word that stands next to a mark anywhere."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            tally = Tally()
+            tally.add(_paragraphs(batch.column(0).to_pylist()))
+            found = [(k, w, None, n) for k, c in enumerate(_COUNTS) for w, n in getattr(tally.words, c).items() if n]
+            found += [(_BESIDE, w, None, 1) for w in tally.beside]
+            found += [(_WAITING, a, b, n) for (a, b), n in tally.waiting.items()]
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.int64())
+            columns = list(zip(*found)) if found else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["k", "a", "b", "n"])
+
+    counts = rows.select(text_col).mapInArrow(count, "k int, a string, b string, n bigint").groupBy("k", "a", "b").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "sentence-counts")
+    words = Words()
+    beside = counts.where(F.col("k") == _BESIDE).select("a")
+    for r in counts.where(F.col("k") < _BESIDE).join(beside, "a", "left_semi").collect():
+        getattr(words, _COUNTS[r["k"]])[r["a"]] = r["n"]
+
+    def everyday(batches):
+        import pyarrow as pa
 
+        for batch in batches:
+            yield batch.filter(pa.array([words.free(tail) >= 3 for tail in batch.column(0).to_pylist()], pa.bool_()))
+
+    waiting = counts.where(F.col("k") == _WAITING).select("a", "b", "n")
+    for r in waiting.mapInArrow(everyday, waiting.schema).groupBy("b").agg(F.sum("n").alias("n")).collect():
+        words.starts[r["b"]] = words.starts.get(r["b"], 0) + r["n"]
+    return words
+
+
+def models(docs: DataFrame, id_col: str, text_col: str, block_docs: int = BLOCK_DOCS) -> tuple[Chain, Chain]:
+    """Both chains, fitted on all documents; blocks are made by the hash of the id, so that tasks do not matter."""
+    rows = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    words = corpus_words(rows, "t")
+    blocks = max(1, math.ceil(rows.count() / block_docs))
+
+    def fit(group):
+        import numpy as np
+        import pyarrow as pa
 
-def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fitted: tuple[Chain, Chain] | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+        pars = _paragraphs(group.sort_by([("id", "ascending"), ("t", "ascending")]).column("t").to_pylist())
+        out = []
+        for which, chain, make, rate in ((0, Chain(words), _marked, 1.5), (1, Chain(), _stripped, 3.0)):
+            sequences = make(chain, pars)
+            chain.fit_slots(sequences, rate=rate)
+            places = [place for seq in sequences for place in seq]
+            used = itertools.chain.from_iterable(itertools.chain(fs, *es) for fs, es, _ in places)
+            met = np.bincount(np.fromiter(used, np.int64), minlength=WIDTH).tolist()
+            out += [(which, s, chain.weights[s] * n, n) for s, n in enumerate(met) if n]
+        columns = list(zip(*out)) if out else [()] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.int64()))], names=["which", "slot", "w", "n"])
+
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    fitted = placed.groupBy("block").applyInArrow(fit, "which int, slot int, w double, n bigint").groupBy("which", "slot").agg((F.sum("w") / F.sum("n")).alias("w"))
+    chains = Chain(words), Chain()
+    for r in fitted.collect():
+        chains[r["which"]].weights[r["slot"]] = r["w"]
+    return chains
+
+
+def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fitted: tuple[Chain, Chain] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(id_col, start_pos, end_pos) of each sentence of each row, in order of position."""
-    marks, letters = fitted or models(docs, id_col, text_col, sample_docs)
+    marks, letters = fitted or models(docs, id_col, text_col, block_docs)
 
     def run(batches):
         import pyarrow as pa
