@@ -31,10 +31,12 @@ alone does not; sentences have no outer blanks and keep their closing marks.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
@@ -246,6 +248,11 @@ def _tail(par: str, start: int) -> str:
     return token.group().lower().strip("'’").rsplit("’", 1)[-1] if token else ""
 
 
+@functools.lru_cache(maxsize=100_000)
+def _features(mark: str, shape: str, frame: str, go: str, small: int | str, begins: int | str, figures: int | str, wide: str) -> list[str]:
+    return ["bias", f"m={mark}", f"h={shape}", f"f={frame}", f"k={go}", f"s={small}", f"b={begins}", f"d={figures}", f"hs={shape}|{small}", f"hb={shape}|{begins}", f"hd={shape}|{figures}", f"fs={frame}|{small}", f"fb={frame}|{begins}", f"fk={frame}|{go}", f"{wide}|{frame}|{begins}"]
+
+
 def choices(par: str, words: Words) -> list[Choice]:
     """Every place of a paragraph that has a choice, in order."""
     out: list[Choice] = []
@@ -267,7 +274,7 @@ def choices(par: str, words: Words) -> list[Choice]:
         go = fresh + "on" if kind in ("lower", "comma") else fresh + kind if kind in ("end", "digit") else fresh + "new"
         small, begins = (words.small(follower), words.begins(follower)) if follower and not fresh else (go, go)
         figures = words.figures(tail) if kind == "digit" else "-"
-        features = ["bias", f"m={mark}", f"h={shape}", f"f={frame}", f"k={go}", f"s={small}", f"b={begins}", f"d={figures}", f"hs={shape}|{small}", f"hb={shape}|{begins}", f"hd={shape}|{figures}", f"fs={frame}|{small}", f"fb={frame}|{begins}", f"fk={frame}|{go}", f"{wide}|{frame}|{begins}"]
+        features = _features(mark, shape, frame, go, small, begins, figures, wide)
         out.append(Choice(end, features, edges, _sure(par, start, end, mark, quote, words, after, kind, tail, follower)))
         before = after if after < len(par) and par[after - 1 : after] not in "\"“„«‘「『([" else _skip(par, end)
     out += [Choice(m.start(), ["thai-gap"], [], 1) for m in _THAI_GAP.finditer(par)]
@@ -439,20 +446,28 @@ def _paragraphs(texts) -> list[str]:
     return [par for text in texts for par in _BREAK.split(text) if par and not par.isspace()]
 
 
-def _marked(chain: Chain, pars: list[str]) -> list:
-    """Slots and labels of the places of every paragraph; equal places share theirs."""
+def _marked(chain: Chain, pars: list[str]) -> tuple[list, Counter]:
+    """Slots and labels of the places of every paragraph, and how often each slot is met; equal places share theirs."""
     shared: dict = {}
-    out = []
+    out, times = [], Counter()
     for par in pars:
         seq = []
         for c in choices(par, chain.words):
             if c.features != ["thai-gap"]:
-                key = (*c.features, *c.edges)
-                held = shared.get(key) or shared.setdefault(key, chain.slots(c.features, c.edges))
-                seq.append((*held, c.label))
+                # the features are kept with their slots, so that no other ones get their id
+                key = (id(c.features), *c.edges)
+                held = shared.get(key)
+                if held is None:
+                    held = shared[key] = (c.features, *chain.slots(c.features, c.edges))
+                times[key] += 1
+                seq.append((held[1], held[2], c.label))
         if seq:
             out.append(seq)
-    return out
+    met: Counter = Counter()
+    for key, n in times.items():
+        for s in itertools.chain(shared[key][1], *shared[key][2]):
+            met[s] += n
+    return out, met
 
 
 def train_punctuated(texts: list[str], transitions: bool = True) -> Chain:
@@ -460,7 +475,7 @@ def train_punctuated(texts: list[str], transitions: bool = True) -> Chain:
     pars, tally = _paragraphs(texts), Tally()
     tally.add(pars)
     chain = Chain(tally.settled(), transitions)
-    return chain.fit_slots(_marked(chain, pars))
+    return chain.fit_slots(_marked(chain, pars)[0])
 
 
 def _around(run: str, i: int) -> list[str]:
@@ -488,18 +503,20 @@ _A, _B = {k: _Slots(f"a{k}") for k in (1, 2, 3)}, {k: _Slots(f"b{k}") for k in (
 _AB = _Slots("ab")
 
 
-def _around_slots(framed: str, i: int) -> list[int]:
+def _around_slots(framed: str, i: int) -> array:
     """Slots of ``_around``; ``framed`` has six marks more on either side."""
     m = i + 6
-    return [
+    return array("H", [
         _BIAS, _A[1][framed[m - 1 : m]], _A[2][framed[m - 2 : m]], _A[3][framed[m - 3 : m]], _slot("a4" + framed[m - 4 : m]), _slot("a6" + framed[m - 6 : m]),
         _B[1][framed[m : m + 1]], _B[2][framed[m : m + 2]], _B[3][framed[m : m + 3]], _slot("b4" + framed[m : m + 4]), _slot("b6" + framed[m : m + 6]),
         _AB[framed[m - 2 : m] + "|" + framed[m : m + 2]],
-    ]
+    ])
 
 
-def _stripped(chain: Chain, pars: list[str]) -> list:
-    """Slots and labels of the places between letters of text whose marks and blanks between letters were stripped."""
+def _stripped(chain: Chain, pars: list[str]) -> tuple[list, Counter]:
+    """``_marked`` for the places between letters of text whose marks and blanks between letters were stripped."""
+    import numpy as np
+
     out, (_, step) = [], chain.slots([], ["step"])
     for par in pars:
         parts = _DENSE_GAP.split(par)
@@ -514,13 +531,16 @@ def _stripped(chain: Chain, pars: list[str]) -> list:
         seq = [(_around_slots(framed, i), step, int(i in ends)) for i in range(1, len(run)) if _DENSE_PAIR.match(run, i - 1)]
         if seq:
             out.append(seq)
-    return out
+    slots = np.frombuffer(b"".join(fs for seq in out for fs, *_ in seq), np.uint16)
+    met = Counter({s: n for s, n in enumerate(np.bincount(slots, minlength=WIDTH).tolist()) if n})
+    met.update({s: sum(map(len, out)) for s in itertools.chain(*step)})
+    return out, met
 
 
 def train_unpunctuated(texts: list[str], transitions: bool = True) -> Chain:
     """The chain of unpunctuated scripts."""
     chain = Chain(None, transitions)
-    return chain.fit_slots(_stripped(chain, _paragraphs(texts)), rate=3.0)
+    return chain.fit_slots(_stripped(chain, _paragraphs(texts))[0], rate=3.0)
 
 
 def _unmarked_ends(par: str, marked: set[int], letters: Chain) -> list[int]:
@@ -620,18 +640,15 @@ def models(docs: DataFrame, id_col: str, text_col: str, block_docs: int = BLOCK_
     blocks = max(1, math.ceil(rows.count() / block_docs))
 
     def fit(group):
-        import numpy as np
         import pyarrow as pa
 
         pars = _paragraphs(group.sort_by([("id", "ascending"), ("t", "ascending")]).column("t").to_pylist())
         out = []
         for which, chain, make, rate in ((0, Chain(words), _marked, 1.5), (1, Chain(), _stripped, 3.0)):
-            sequences = make(chain, pars)
+            sequences, met = make(chain, pars)
             chain.fit_slots(sequences, rate=rate)
-            places = [place for seq in sequences for place in seq]
-            used = itertools.chain.from_iterable(itertools.chain(fs, *es) for fs, es, _ in places)
-            met = np.bincount(np.fromiter(used, np.int64), minlength=WIDTH).tolist()
-            out += [(which, s, chain.weights[s] * n, n) for s, n in enumerate(met) if n]
+            out += [(which, s, chain.weights[s] * n, n) for s, n in met.items() if n]
+            del sequences
         columns = list(zip(*out)) if out else [()] * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.int64()))], names=["which", "slot", "w", "n"])
 
