@@ -34,9 +34,9 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+import operator
 import re
 import zlib
-from array import array
 from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
@@ -50,20 +50,27 @@ ROUND_PLACES = 60_000
 #: Width of the hashed feature space.
 WIDTH = 1 << 16
 
-_TERM = re.compile(r"[.!?…。！？｡؟।॥]+|(?<=[Ͱ-Ͽἀ-῿]);|;")
+#: Marks that stand together, or one semicolon (the Greek question mark); begins with one class, which is searched for fast.
+_TERM = re.compile(r"[.!?…。！？｡؟।॥;](?:(?<=;)|[.!?…。！？｡؟।॥]*)")
 _WIDE = "。！？｡"
 _BREAK = re.compile(r"\n[^\S\n]*(?:\r?\n)[\s]*|\r[^\S\n\r]*\r\s*")
 _TOKEN = re.compile(r"[^\s(\[{\"“”„«»‘「『—–]+$")
 _FOLLOW = re.compile(r"[\s\"“„«‘「『(\[¿¡  ]*")
 _OPENS = re.compile(r"[\"“„«「『]")
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: What stands between a mark and the letters that follow it, and these letters.
+_NEXT = re.compile(rf"({_FOLLOW.pattern})([^\W\d_]*)")
+#: A mark with what closes after it, where no quotation does, and ``_NEXT``.
+_PLAIN = re.compile(rf"({_TERM.pattern})[)\]}}’]*(?={_NEXT.pattern})")
+_QUOTE = re.compile(r'["“”„«»「」『』]')
 #: A word; an initial keeps its full stop.
 _WRITTEN = re.compile(r"[^\W\d_]{2,}|[^\W\d_]\.?")
 _THAI = r"[ก-ฺเ-๎]"
-_THAI_GAP = re.compile(rf"(?<={_THAI})\s+(?={_THAI})")
+_THAI_GAP = re.compile(rf"{_THAI}(\s+)(?={_THAI})")
 #: Letters of scripts that are written without blanks between words.
 _DENSE = r"[ก-ฺเ-๎຀-ໟក-៓က-႟぀-ヿ㐀-䶿一-鿿]"
 _DENSE_LETTER = re.compile(_DENSE)
+_DENSE_RANGES = [(ord(a), ord(b)) for a, b in re.findall("(.)-(.)", _DENSE)]
 _DENSE_PAIR = re.compile(rf"{_DENSE}{_DENSE}")
 _MARKS = ".,;:!?…()[]{}<>\"'“”„«»‘’‚‹›「」『』〈〉《》【】。，、；：！？｡؟،؛।॥·•*_/|—–-"
 _DENSE_RUN = re.compile(rf"{_DENSE}{{8,}}")
@@ -74,7 +81,7 @@ _PAIRS = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "
 def _quotes(par: str) -> list[tuple[int, int]]:
     """(first, last) of each quotation of a paragraph that is closed."""
     spans, stack, straight = [], [], None
-    for m in re.finditer(r'["“”„«»「」『』]', par):
+    for m in _QUOTE.finditer(par):
         c, i = m.group(), m.start()
         if c == '"':
             if straight is None:
@@ -98,6 +105,7 @@ class Choice:
         self.end, self.features, self.edges, self.label = end, features, edges, label
 
 
+@functools.lru_cache(maxsize=10_000)
 def _kind(c: str) -> str:
     if c.isdigit():
         return "digit"
@@ -123,29 +131,38 @@ class Words:
         self.numbered: dict[str, int] = {}  # before a full stop that a figure follows
 
     def add(self, pars: list[str]) -> None:
-        """Counts the words of paragraphs; what is written alike is folded once."""
-        tokens, written = Counter(), Counter()
+        """Counts the words of paragraphs; what is written alike is looked at once. No word goes over a blank."""
+        tokens, written, pairs = Counter(), Counter(), Counter()
         for par in pars:
             tokens.update(par.split())
-            written.update(_WRITTEN.findall(par))
         for t, n in tokens.items():
             self.tokens[t.strip(_MARKS).lower()] += n
+            if t.isalpha() and len(t) > 1:
+                written[t] += n
+            else:
+                for w in _WRITTEN.findall(t):
+                    written[w] += n
         for w, n in written.items():
             if _DENSE_LETTER.match(w):  # no blanks: two letters stand for the word
-                for pair in (w[i : i + 2] for i in range(len(w.rstrip(".")) - 1)):
-                    self.all[pair] += n
-                    self.large[pair] += n
+                w = w.rstrip(".")
+                if n == 1:
+                    pairs.update(map(operator.add, w, w[1:]))
+                    continue
+                for pair in map(operator.add, w, w[1:]):
+                    pairs[pair] += n
                 continue
             self.all[w.lower()] += n
             if not w[0].islower():
                 self.large[w.lower()] += n
+        self.all.update(pairs)
+        self.large.update(pairs)
 
-    def stops(self, before: str, figure: bool) -> None:
-        self.stopped[before] = self.stopped.get(before, 0) + 1
-        self.numbered[before] = self.numbered.get(before, 0) + figure
+    def stops(self, before: str, n: int, figures: int) -> None:
+        self.stopped[before] = self.stopped.get(before, 0) + n
+        self.numbered[before] = self.numbered.get(before, 0) + figures
 
-    def start(self, word: str) -> None:
-        self.starts[word] = self.starts.get(word, 0) + 1
+    def start(self, word: str, n: int = 1) -> None:
+        self.starts[word] = self.starts.get(word, 0) + n
 
     def free(self, before: str) -> int:
         """How often a word goes without a stop, in six steps; an inner stop and single letters have their own."""
@@ -168,19 +185,23 @@ class Words:
         return _level(self.starts.get(word, 0) * 6.0, self.large.get(word, 0), 0.5, 4.0) if self.large.get(word, 0) > 3 else -1
 
 
-def _folded(par: str, m: re.Match) -> str:
-    """A word without case; an initial keeps its full stop."""
-    return m.group().lower() + ("." if len(m.group()) == 1 and par[m.end() : m.end() + 1] == "." else "")
+@functools.lru_cache(maxsize=100_000)
+def _folded(letters: str, stop: bool) -> str:
+    """A word without case; an initial keeps its full stop, and two letters stand for a word of a dense script."""
+    return letters[:2] if _DENSE_LETTER.match(letters) else letters.lower() + ("." if stop else "")
+
+
+def _word_of(par: str, letters: str, end: int) -> str:
+    return _folded(letters, len(letters) == 1 and par[end : end + 1] == ".") if letters else ""
 
 
 def _word_at(par: str, i: int) -> str:
     m = _LETTERS.match(par, i)
-    return "" if not m else m.group()[:2] if _DENSE_LETTER.match(m.group()) else _folded(par, m)
+    return _word_of(par, m.group(), m.end()) if m else ""
 
 
-def places(par: str):
+def places(par: str, spans: list[tuple[int, int]]):
     """(start of the mark, end, mark, opening of a quotation closed there or None) of every mark outside quotations."""
-    spans = _quotes(par)
     opened = {b: a for a, b in spans}
     out, k = [], 0
     for m in _TERM.finditer(par):
@@ -215,17 +236,37 @@ def places(par: str):
     return out
 
 
-def _sure(par: str, start: int, end: int, mark: str, quote: int | None, words: Words, after: int, kind: str, tail: str, follower: str) -> int | None:
+def _surroundings(par: str) -> list[tuple]:
+    """(start, end, mark, opening, where the text goes on, its kind, word before, word after) of every place."""
+    out, size, spans = [], len(par), _quotes(par)
+    if spans:
+        for start, end, mark, quote in places(par, spans):
+            m = _NEXT.match(par, end)
+            after = m.end(1)
+            out.append((start, end, mark, quote, after, _kind(par[after]) if after < size else "end", _tail(par, start), _word_of(par, m.group(2), m.end())))
+        return out
+    for m in _PLAIN.finditer(par):
+        start, end = m.span()
+        mark, after = par[m.end(1) - 1], m.end(2)
+        kind = _kind(par[after]) if after < size else "end"
+        if end < size and not par[end].isspace() and mark not in _WIDE:
+            if mark in ".…" or after < size and par[end] not in "“„«「『¿¡" and kind != "comma":
+                continue
+        out.append((start, end, mark, None, after, kind, _tail(par, start), _word_of(par, m.group(3), m.end(3))))
+    return out
+
+
+def _sure(mark: str, quoted: bool, fresh: str, words: Words, kind: str, tail: str, large: bool, follower: str) -> int | None:
     """The label that a place has for certain or by the statistics of the words, or None."""
-    if after >= len(par):
+    if kind == "end":
         return 1
     if kind in ("lower", "comma"):
         return 0
-    if quote is not None and _OPENS.search(par, end, after):
+    if quoted and fresh:
         return 1
     free = words.free(tail)
     everyday = len(tail) >= 3 and tail.isalpha() and free >= 3
-    if quote is not None:
+    if quoted:
         if kind == "upper":
             return 1 if words.small(follower) >= 3 or words.begins(follower) >= 3 else None
         return 0 if kind == "caseless" and mark in _WIDE and words.begins(follower) == 0 else None
@@ -238,13 +279,21 @@ def _sure(par: str, start: int, end: int, mark: str, quote: int | None, words: W
     if kind == "upper":
         if everyday or words.small(follower) >= 3 or (len(tail) > 4 and tail.isalpha()):
             return 1
-        return 0 if free in (0, 6, 7) and not tail.isdigit() and len(tail) < 4 + par[start - len(tail)].isupper() and words.begins(follower) <= 1 else None
+        return 0 if free in (0, 6, 7) and not tail.isdigit() and len(tail) < 4 + large and words.begins(follower) <= 1 else None
     return 1 if kind == "caseless" and everyday else None
 
 
 def _tail(par: str, start: int) -> str:
     """The word directly before a mark, folded."""
-    token = _TOKEN.search(par, max(0, start - 24), start)
+    if start and not par[start - 1].isspace():
+        last = par[max(0, start - 24) : start].rsplit(None, 1)[-1]
+        return last.lower() if last.isalnum() else _last(last)
+    return _last(par[max(0, start - 24) : start])
+
+
+@functools.lru_cache(maxsize=100_000)
+def _last(text: str) -> str:
+    token = _TOKEN.search(text)
     return token.group().lower().strip("'’").rsplit("’", 1)[-1] if token else ""
 
 
@@ -253,31 +302,42 @@ def _features(mark: str, shape: str, frame: str, go: str, small: int | str, begi
     return ["bias", f"m={mark}", f"h={shape}", f"f={frame}", f"k={go}", f"s={small}", f"b={begins}", f"d={figures}", f"hs={shape}|{small}", f"hb={shape}|{begins}", f"hd={shape}|{figures}", f"fs={frame}|{small}", f"fb={frame}|{begins}", f"fk={frame}|{go}", f"{wide}|{frame}|{begins}"]
 
 
-def choices(par: str, words: Words) -> list[Choice]:
-    """Every place of a paragraph that has a choice, in order."""
-    out: list[Choice] = []
-    before = 0
-    for start, end, mark, quote in places(par):
-        after = _FOLLOW.match(par, end).end()
-        kind = _kind(par[after]) if after < len(par) else "end"
-        tail = _tail(par, start)
-        shape = f"n{len(tail)}" if tail.isdigit() else f"r{words.free(tail)}l{min(len(tail), 6)}" if mark == "." else "r"
-        follower = _word_at(par, after) if kind in ("upper", "caseless") else ""
-        wide = f"w{int(mark in _WIDE)}"
+def _contexts(par: str) -> list[tuple[int, tuple]]:
+    """End of every place, in order, and all that its features, edges and label hang on besides the counts."""
+    out, before = [], 0
+    for start, end, mark, quote, after, kind, tail, follower in _surroundings(par):
         frame = "none"
-        edges = [f"gap{min(8, (end - before).bit_length())}"]
         if quote is not None:
             lead = par[before:quote].rstrip()
             frame = "colon" if lead[-1:] in (":", "：") and lead else "open" if not lead else "mid"
-            edges.append(f"q-{frame}")
-        fresh = "q" if _OPENS.search(par, end, after) else ""
-        go = fresh + "on" if kind in ("lower", "comma") else fresh + kind if kind in ("end", "digit") else fresh + "new"
-        small, begins = (words.small(follower), words.begins(follower)) if follower and not fresh else (go, go)
-        figures = words.figures(tail) if kind == "digit" else "-"
-        features = _features(mark, shape, frame, go, small, begins, figures, wide)
-        out.append(Choice(end, features, edges, _sure(par, start, end, mark, quote, words, after, kind, tail, follower)))
+        fresh = "q" if after > end and _OPENS.search(par, end, after) else ""
+        # the case of the word before is asked for where it has four letters
+        large = len(tail) == 4 and par[start - 4].isupper()
+        out.append((end, (mark, frame, fresh, kind, tail, large, follower if kind in ("upper", "caseless") else "", min(8, (end - before).bit_length()))))
         before = after if after < len(par) and par[after - 1 : after] not in "\"“„«‘「『([" else _skip(par, end)
-    out += [Choice(m.start(), ["thai-gap"], [], 1) for m in _THAI_GAP.finditer(par)]
+    return out
+
+
+def _judged(context: tuple, words: Words) -> tuple[list[str], list[str], int | None]:
+    """Features, edges and label of a context."""
+    mark, frame, fresh, kind, tail, large, follower, gap = context
+    shape = f"n{len(tail)}" if tail.isdigit() else f"r{words.free(tail)}l{min(len(tail), 6)}" if mark == "." else "r"
+    edges = [f"gap{gap}"] if frame == "none" else [f"gap{gap}", f"q-{frame}"]
+    go = fresh + "on" if kind in ("lower", "comma") else fresh + kind if kind in ("end", "digit") else fresh + "new"
+    small, begins = (words.small(follower), words.begins(follower)) if follower and not fresh else (go, go)
+    figures = words.figures(tail) if kind == "digit" else "-"
+    features = _features(mark, shape, frame, go, small, begins, figures, f"w{int(mark in _WIDE)}")
+    return features, edges, _sure(mark, frame != "none", fresh, words, kind, tail, large, follower)
+
+
+def _thai_gaps(par: str) -> list[int]:
+    return [] if par.isascii() else [m.start(1) for m in _THAI_GAP.finditer(par)]
+
+
+def choices(par: str, words: Words) -> list[Choice]:
+    """Every place of a paragraph that has a choice, in order."""
+    out = [Choice(end, *_judged(context, words)) for end, context in _contexts(par)]
+    out += [Choice(at, ["thai-gap"], [], 1) for at in _thai_gaps(par)]
     out.sort(key=lambda c: c.end)
     return out
 
@@ -292,6 +352,10 @@ def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) & (WIDTH - 1)
 
 
+#: Odds of a certain boundary, beyond all that scores give.
+_SURE = 1e100
+
+
 class Chain:
     """A linear chain of two tags, inside and boundary, with hashed log-linear scores.
 
@@ -302,6 +366,26 @@ class Chain:
     def __init__(self, words: Words | None = None, transitions: bool = True):
         self.words, self.transitions, self.weights = words or Words(), transitions, [0.0] * WIDTH
         self._slots: dict[str, int] = {}
+        self._places: dict[tuple, tuple] = {}
+        self._alike: dict[tuple, tuple] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "_slots": {}, "_places": {}, "_alike": {}}
+
+    def place(self, context: tuple) -> tuple[tuple[int, ...], tuple[tuple[int, int, int], ...], int | None]:
+        """Slots of the features and edges of a context, and its label; equal ones are one object."""
+        held = self._places.get(context)
+        if held is None:
+            features, edges, label = _judged(context, self.words)
+            # the features are kept with their slots, so that no other ones get their id
+            key = (id(features), label, *edges)
+            found = self._alike.get(key)
+            if found is None:
+                found = self._alike[key] = (features, (*self.slots(features, edges), label))
+            held = found[1]
+            if len(self._places) < 200_000:
+                self._places[context] = held
+        return held
 
     def slot(self, feature: str) -> int:
         s = self._slots.get(feature)
@@ -324,14 +408,21 @@ class Chain:
 
     def decode(self, scores: list[float], edges: list, sure: list | None = None) -> list[bool]:
         """Viterbi; what comes before the first place counts as a boundary. ``sure`` tags are kept."""
+        known = {id(e): self.edge(e) for e in {id(e): e for e in edges}.values()}
+        return self._best(scores, [known[id(e)] for e in edges], sure)
+
+    @staticmethod
+    def _best(scores, trans, sure: list | None = None) -> list[bool]:
         low = -1e9
         inside, bound, came = low, 0.0, []
-        for t, s in enumerate(scores):
-            ib, bi, bb = self.edge(edges[t])
-            fixed = sure[t] if sure else None
-            a, b = (inside, bound + bi), (inside + ib, bound + bb)
-            came.append((a[1] > a[0], b[1] > b[0]))
-            inside, bound = (low if fixed == 1 else max(a)), (low if fixed == 0 else max(b) + s)
+        for s, (ib, bi, bb), fixed in zip(scores, trans, sure or itertools.repeat(None)):
+            to_in, from_in, from_b = bound + bi, inside + ib, bound + bb
+            came.append((to_in > inside, from_b > from_in))
+            if fixed == 1:
+                inside = low
+            elif to_in > inside:
+                inside = to_in
+            bound = low if fixed == 0 else (from_b if from_b > from_in else from_in) + s
         tags, tag = [], bound > inside
         for from_in, from_b in reversed(came):
             tags.append(tag)
@@ -339,31 +430,25 @@ class Chain:
         return tags[::-1]
 
     def _beliefs(self, scores, trans, clamp):
-        """Probabilities of the tags and of the tag pairs by forward-backward, given the clamped tags."""
-        n = len(scores)
-        fwd, (i, b) = [], (0.0, 1.0)
-        for t in range(n):
-            ib, bi, bb = trans[t]
-            ni = 0.0 if clamp[t] == 1 else i + b * bi
-            nb = 0.0 if clamp[t] == 0 else (i * ib + b * bb) * scores[t]
-            z = ni + nb or 1e-300
-            fwd.append((i, b))
-            i, b = ni / z, nb / z
-        out, (ri, rb) = [None] * n, (1.0, 1.0)
-        for t in range(n - 1, -1, -1):
-            ib, bi, bb = trans[t]
-            i, b = fwd[t]
-            gi, gb = (0.0 if clamp[t] == 1 else ri), (0.0 if clamp[t] == 0 else scores[t] * rb)
-            ii, jb, ji, jj = i * gi, i * ib * gb, b * bi * gi, b * bb * gb
-            z = ii + jb + ji + jj or 1e-300
-            out[t] = (jb / z, ji / z, jj / z)
-            ri, rb = gi + ib * gb, bi * gi + bb * gb
-            z = ri + rb or 1e-300
-            ri, rb = ri / z, rb / z
-        return out
-
-    def slots(self, features: list[str], edges: list[str]) -> tuple[list[int], list[tuple[int, int, int]]]:
-        return [self.slot(f) for f in features], [tuple(self.slot(e + x) for x in ("|ib", "|bi", "|bb")) for e in edges] if self.transitions else []
+        """Probabilities of the tag pairs by forward-backward, given the clamped tags.
+
+        Both passes carry one number, boundary over inside; ``_SURE`` stands for a tag that is a boundary for certain.
+        """
+        fwd, r = [], _SURE
+        for s, (ib, bi, bb), fixed in zip(scores, trans, clamp):
+            fwd.append(r)
+            r = s * (ib + r * bb) / (1.0 + r * bi) if fixed is None else _SURE if fixed else 0.0
+        out, back = [], 1.0
+        for s, (ib, bi, bb), fixed, r in zip(reversed(scores), reversed(trans), reversed(clamp), reversed(fwd)):
+            x = s * back if fixed is None else _SURE if fixed else 0.0
+            jb, ji, jj = ib * x, r * bi, r * bb * x
+            z = 1.0 + jb + ji + jj
+            out.append((jb / z, ji / z, jj / z))
+            back = (bi + bb * x) / (1.0 + jb)
+        return out[::-1]
+
+    def slots(self, features: list[str], edges: list[str]) -> tuple[tuple[int, ...], tuple[tuple[int, int, int], ...]]:
+        return tuple(map(self.slot, features)), tuple(tuple(self.slot(e + x) for x in ("|ib", "|bi", "|bb")) for e in edges) if self.transitions else ()
 
     def fit(self, sequences: list[list[tuple[list[str], list[str], int | None]]], epochs: int = 4, rate: float = 1.5, seed: int = 11) -> Chain:
         """Averaged stochastic gradient of the partial-label likelihood: clamped minus free expectations."""
@@ -373,8 +458,10 @@ class Chain:
         """``fit`` on features and edges that are slots; of many places each round takes a share, so that all are taken."""
         import random
 
-        order, w, total, steps = random.Random(seed), self.weights, [0.0] * WIDTH, 0
-        slotted = [seq for seq in sequences if any(y is not None for *_, y in seq)]
+        slotted = [seq for seq in sequences if isinstance(seq, Run) or any(y is not None for *_, y in seq)]
+        dense = bool(slotted) and isinstance(slotted[0], Run)
+        learn, w = (self._learn_run, _floats(self.weights)) if dense else (self._learn, self.weights)
+        order, total, steps = random.Random(seed), [0.0] * WIDTH, 0
         size = math.ceil(len(slotted) * max(1 / epochs, min(1.0, ROUND_PLACES / max(1, sum(map(len, slotted))))))
         queue: list = []
         for epoch in range(epochs):
@@ -384,26 +471,80 @@ class Chain:
             chunk, queue = queue[:size], queue[size:]
             pace = rate / (1 + 0.5 * epoch)
             for seq in chunk:
-                feats = [fs for fs, _, _ in seq]
-                scores = [math.exp(max(-30.0, min(30.0, sum(w[s] for s in fs)))) for fs in feats]
-                trans = [tuple(math.exp(max(-20.0, min(20.0, sum(w[e[k]] for e in es)))) for k in range(3)) for _, es, _ in seq]
-                labels = [y for *_, y in seq]
-                free, held = self._beliefs(scores, trans, [None] * len(seq)), self._beliefs(scores, trans, labels)
-                for fs, (_, es, _), f, h in zip(feats, seq, free, held):
-                    g = (h[0] + h[2]) - (f[0] + f[2])
-                    if abs(g) > 1e-3:
-                        for s in fs:
-                            w[s] += pace * g / len(fs)
-                    for e in es:
-                        for k in range(3):
-                            w[e[k]] += 0.1 * pace * (h[k] - f[k])
+                learn(w, seq, pace)
             if epoch >= epochs // 2:
                 steps += 1
                 total = [a + b for a, b in zip(total, w)]
         if steps:
-            self.weights = [x / steps for x in total]
+            self.weights = [float(x) / steps for x in total]
         return self
 
+    def _learn(self, w: list[float], seq: list, pace: float) -> None:
+        at, exp, scores, trans = w.__getitem__, math.exp, [], []
+        for fs, es, _ in seq:
+            scores.append(exp(max(-30.0, min(30.0, sum(map(at, fs))))))
+            pairs = map(at, es[0]) if len(es) == 1 else map(sum, zip(*[map(at, e) for e in es])) if es else (0.0, 0.0, 0.0)
+            trans.append([exp(max(-20.0, min(20.0, x))) for x in pairs])
+        labels = [y for *_, y in seq]
+        free, held = self._beliefs(scores, trans, [None] * len(seq)), self._beliefs(scores, trans, labels)
+        slow = 0.1 * pace
+        for (fs, es, _), (f0, f1, f2), (h0, h1, h2) in zip(seq, free, held):
+            g = (h0 + h2) - (f0 + f2)
+            if abs(g) > 1e-3:
+                d = pace * g / max(1, len(fs))
+                for s in fs:
+                    w[s] += d
+            for a, b, c in es:
+                w[a] += slow * (h0 - f0)
+                w[b] += slow * (h1 - f1)
+                w[c] += slow * (h2 - f2)
+
+    def _learn_run(self, w, seq: Run, pace: float) -> None:
+        """``_learn`` for a run whose labels are all known and whose places have the same edges."""
+        import numpy as np
+
+        slots, labels = seq.slots, seq.labels
+        scores = np.exp(np.clip(w[slots].sum(axis=1), -30.0, 30.0))
+        ib, bi, bb = (math.exp(max(-20.0, min(20.0, sum(w[e[k]] for e in seq.edges)))) for k in range(3))
+        fwd, r, listed = [], _SURE, scores.tolist()
+        for s in listed:
+            fwd.append(r)
+            r = s * (ib + r * bb) / (1.0 + r * bi)
+        xs, back = [], 1.0
+        for s in reversed(listed):
+            x = s * back
+            xs.append(x)
+            back = (bi + bb * x) / (1.0 + ib * x)
+        r, x = np.array(fwd), np.array(xs[::-1])
+        jb, ji, jj = ib * x, bi * r, bb * r * x
+        z = 1.0 + jb + ji + jj
+        g = labels - (jb + jj) / z
+        far = np.abs(g) > 1e-3
+        np.add.at(w, slots[far].ravel(), np.repeat(pace * g[far] / slots.shape[1], slots.shape[1]))
+        before = np.concatenate(([1.0], labels[:-1]))
+        pairs = ((1.0 - before) * labels - jb / z).sum(), (before * (1.0 - labels) - ji / z).sum(), (before * labels - jj / z).sum()
+        for e in seq.edges:
+            for k in range(3):
+                w[e[k]] += 0.1 * pace * pairs[k]
+
+
+class Run:
+    """Places of a run: slots of the features of each, edges that all have, and the labels."""
+
+    __slots__ = ("slots", "edges", "labels")
+
+    def __init__(self, slots, edges: list[tuple[int, int, int]], labels):
+        self.slots, self.edges, self.labels = slots, edges, labels
+
+    def __len__(self) -> int:
+        return len(self.labels)
+
+
+def _floats(weights: list[float]):
+    import numpy as np
+
+    return np.array(weights)
+
 
 class Tally:
     """What ``Words`` are made of, from some of the texts."""
@@ -415,25 +556,26 @@ class Tally:
 
     def add(self, pars: list[str]) -> None:
         self.words.add(pars)
-        for par in pars:
-            self._marks(par)
-
-    def _marks(self, par: str) -> None:
         words = self.words
-        first = _FOLLOW.match(par, 0).end()
-        if not par[first : first + 1].islower():
-            words.start(_word_at(par, first))
-        for start, end, mark, quote in places(par):
-            after = _FOLLOW.match(par, end).end()
-            tail, follower = _tail(par, start), _word_at(par, after)
-            self.beside.update((tail, follower))
+        for (mark, tail, follower, figure, start, asked), n in Counter(itertools.chain.from_iterable(map(self._marks, pars))).items():
+            self.beside.add(tail)
+            if asked:
+                self.beside.add(follower)
             if mark == ".":
-                words.stops(tail, par[after : after + 1].isdigit())
-            if after < len(par) and not par[after].islower() and quote is None:
+                words.stops(tail, n, n * figure)
+            if start:
                 if mark in "!?。！？｡؟।॥":
-                    words.start(follower)
+                    words.start(follower, n)
                 elif len(tail) >= 3:
-                    self.waiting[tail, follower] += 1
+                    self.waiting[tail, follower] += n
+
+    def _marks(self, par: str):
+        """For every place: mark, word before, word after, is that a figure, may it begin a sentence, is it ever asked for."""
+        first = _FOLLOW.match(par, 0).end()
+        if not par[first : first + 1].islower():
+            self.words.start(_word_at(par, first))
+        for _, _, mark, quote, after, kind, tail, follower in _surroundings(par):
+            yield mark, tail, follower, kind == "digit", kind != "end" and quote is None and not par[after].islower(), kind in ("upper", "caseless")
 
     def settled(self) -> Words:
         for (tail, follower), n in self.waiting.items():
@@ -448,24 +590,16 @@ def _paragraphs(texts) -> list[str]:
 
 def _marked(chain: Chain, pars: list[str]) -> tuple[list, Counter]:
     """Slots and labels of the places of every paragraph, and how often each slot is met; equal places share theirs."""
-    shared: dict = {}
-    out, times = [], Counter()
+    out = []
     for par in pars:
-        seq = []
-        for c in choices(par, chain.words):
-            if c.features != ["thai-gap"]:
-                # the features are kept with their slots, so that no other ones get their id
-                key = (id(c.features), *c.edges)
-                held = shared.get(key)
-                if held is None:
-                    held = shared[key] = (c.features, *chain.slots(c.features, c.edges))
-                times[key] += 1
-                seq.append((held[1], held[2], c.label))
-        if seq:
-            out.append(seq)
+        contexts = _contexts(par)
+        if contexts:
+            out.append(tuple([chain.place(context) for _, context in contexts]))
     met: Counter = Counter()
-    for key, n in times.items():
-        for s in itertools.chain(shared[key][1], *shared[key][2]):
+    held = {id(place): place for seq in out for place in seq}
+    for k, n in Counter(map(id, itertools.chain.from_iterable(out))).items():
+        fs, es, _ = held[k]
+        for s in itertools.chain(fs, *es):
             met[s] += n
     return out, met
 
@@ -484,55 +618,89 @@ def _around(run: str, i: int) -> list[str]:
     return ["bias", *(f"a{k}{a[-k:]}" for k in (1, 2, 3, 4, 6)), *(f"b{k}{b[:k]}" for k in (1, 2, 3, 4, 6)), f"ab{a[-2:]}|{b[:2]}"]
 
 
-class _Slots(dict):
-    """Slots of the features of one kind, kept by what follows the name of the kind."""
+#: Features of ``_around``: name, letters before and after the place, and whether a bar parts them.
+_KINDS = [*((f"a{k}", k, 0, False) for k in (1, 2, 3, 4, 6)), *((f"b{k}", 0, k, False) for k in (1, 2, 3, 4, 6)), ("ab", 2, 2, True)]
+
+
+@functools.cache
+def _crc_steps():
+    """What a byte of zeros makes of each low byte of a CRC-32."""
+    import numpy as np
+
+    steps = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        steps = np.where(steps & 1, (steps >> 1) ^ np.uint32(0xEDB88320), steps >> 1)
+    return steps
+
+
+def _crc_shifted(values, most: int) -> list:
+    """Low 16 bits of CRC-32 states after 0 to ``most`` bytes of zeros."""
+    steps, out = _crc_steps(), []
+    for _ in range(most + 1):
+        out.append((values & 0xFFFF).astype("uint16"))
+        values = steps[values & 255] ^ (values >> 8)
+    return out
 
-    def __init__(self, kind: str):
-        super().__init__()
-        self.kind = kind
 
-    def __missing__(self, rest: str) -> int:
-        slot = _slot(self.kind + rest)
-        if len(self) < 200_000:
-            self[rest] = slot
-        return slot
+def _framed(runs: list[str]):
+    """Code points of the runs, each with six marks more on either side, and where each begins."""
+    import numpy as np
 
+    codes = np.frombuffer("".join(f"▸▸▸▸▸▸{run}◂◂◂◂◂◂" for run in runs).encode("utf-32-le"), np.uint32)
+    return codes, np.cumsum([6, *(len(run) + 12 for run in runs)])[:-1]
 
-_BIAS = _slot("bias")
-_A, _B = {k: _Slots(f"a{k}") for k in (1, 2, 3)}, {k: _Slots(f"b{k}") for k in (1, 2, 3)}
-_AB = _Slots("ab")
 
+def _dense(codes):
+    """Which code points are letters of dense scripts."""
+    import numpy as np
 
-def _around_slots(framed: str, i: int) -> array:
-    """Slots of ``_around``; ``framed`` has six marks more on either side."""
-    m = i + 6
-    return array("H", [
-        _BIAS, _A[1][framed[m - 1 : m]], _A[2][framed[m - 2 : m]], _A[3][framed[m - 3 : m]], _slot("a4" + framed[m - 4 : m]), _slot("a6" + framed[m - 6 : m]),
-        _B[1][framed[m : m + 1]], _B[2][framed[m : m + 2]], _B[3][framed[m : m + 3]], _slot("b4" + framed[m : m + 4]), _slot("b6" + framed[m : m + 6]),
-        _AB[framed[m - 2 : m] + "|" + framed[m : m + 2]],
-    ])
+    return np.logical_or.reduce([(codes >= a) & (codes <= b) for a, b in _DENSE_RANGES])
 
 
-def _stripped(chain: Chain, pars: list[str]) -> tuple[list, Counter]:
+def _around_slots(codes, at):
+    """Slots of ``_around`` for the places ``at`` of framed runs.
+
+    A CRC is linear: a character adds what its bytes make, shifted by the number of
+    bytes behind it.
+    """
+    import numpy as np
+
+    letters, ids = np.unique(np.append(codes, ord("|")), return_inverse=True)
+    own, bar = [chr(c).encode() for c in letters.tolist()], int(ids[-1])
+    sizes = np.cumsum([0, *np.array([len(b) for b in own])[ids[:-1]]])
+    table = np.concatenate(_crc_shifted(np.array([zlib.crc32(b, 0xFFFFFFFF) ^ 0xFFFFFFFF for b in own], np.uint32), 25))
+    out = np.empty((len(at), len(_KINDS) + 1), np.uint16)
+    out[:, 0] = _slot("bias")
+    for k, (name, left, right, barred) in enumerate(_KINDS, 1):
+        first = np.array(zlib.crc32(name.encode()) ^ 0xFFFFFFFF, np.uint32)
+        end = sizes[at + right]
+        slots = np.array(_crc_shifted(first, 25), np.uint16)[end - sizes[at - left] + barred] ^ np.uint16(0xFFFF)
+        for i in range(-left, right):
+            slots ^= table[(end - sizes[at + i + 1] + (barred and i < 0)) * len(own) + ids[at + i]]
+        if barred:
+            slots ^= table[(end - sizes[at]) * len(own) + bar]
+        out[:, k] = slots
+    return out
+
+
+def _stripped(chain: Chain, pars: list[str]) -> tuple[list[Run], Counter]:
     """``_marked`` for the places between letters of text whose marks and blanks between letters were stripped."""
     import numpy as np
 
-    out, (_, step) = [], chain.slots([], ["step"])
-    for par in pars:
-        parts = _DENSE_GAP.split(par)
-        if len(parts) < 2:
-            continue
-        run, ends = "".join(parts), set()
-        at = 0
-        for p in parts[:-1]:
-            at += len(p)
-            ends.add(at)
-        framed = "▸" * 6 + run + "◂" * 6
-        seq = [(_around_slots(framed, i), step, int(i in ends)) for i in range(1, len(run)) if _DENSE_PAIR.match(run, i - 1)]
-        if seq:
-            out.append(seq)
-    slots = np.frombuffer(b"".join(fs for seq in out for fs, *_ in seq), np.uint16)
-    met = Counter({s: n for s, n in enumerate(np.bincount(slots, minlength=WIDTH).tolist()) if n})
+    out, (_, step), counts = [], chain.slots([], ["step"]), np.zeros(WIDTH, np.int64)
+    split = (_DENSE_GAP.split(par) for par in pars if not par.isascii() and _DENSE_LETTER.search(par))
+    split = (parts for parts in split if len(parts) > 1)
+    while some := list(itertools.islice(split, 1000)):
+        codes, begin = _framed(["".join(parts) for parts in some])
+        dense, ends = _dense(codes), np.zeros(len(codes))
+        for at, parts in zip(begin.tolist(), some):
+            ends[[at + n for n in itertools.accumulate(map(len, parts[:-1]))]] = 1.0
+        places = np.flatnonzero(dense[1:] & dense[:-1]) + 1
+        slots, labels = _around_slots(codes, places), ends[places]
+        counts += np.bincount(slots.ravel(), minlength=WIDTH)
+        cuts = np.searchsorted(places, [*begin.tolist(), len(codes)]).tolist()
+        out += [Run(slots[a:b], step, labels[a:b]) for a, b in itertools.pairwise(cuts) if b > a]
+    met = Counter({s: n for s, n in enumerate(counts.tolist()) if n})
     met.update({s: sum(map(len, out)) for s in itertools.chain(*step)})
     return out, met
 
@@ -543,7 +711,22 @@ def train_unpunctuated(texts: list[str], transitions: bool = True) -> Chain:
     return chain.fit_slots(_stripped(chain, _paragraphs(texts))[0], rate=3.0)
 
 
-def _unmarked_ends(par: str, marked: set[int], letters: Chain) -> list[int]:
+def _letter_scores(texts: list[str | None], letters: Chain) -> dict[str, list[float]]:
+    """Scores of the places before each letter, for every paragraph with letters of dense scripts as it is without its gaps."""
+    import numpy as np
+
+    pars = (par for text in texts if text and not text.isascii() for par in _BREAK.split(text) if _DENSE_PAIR.search(par))
+    runs = list({"".join(_DENSE_GAP.split(par)): None for par in pars})
+    if not runs:
+        return {}
+    codes, begin = _framed(runs)
+    dense, w, scores = _dense(codes), _floats(letters.weights), np.zeros(len(codes))
+    places = np.flatnonzero(dense[1:] & dense[:-1]) + 1
+    scores[places] = w[_around_slots(codes, places)].sum(axis=1)
+    return {run: scores[at : at + len(run)].tolist() for run, at in zip(runs, begin.tolist())}
+
+
+def _unmarked_ends(par: str, marked: set[int], letters: Chain, scores: dict[str, list[float]]) -> list[int]:
     """Ends between two letters of dense scripts; what the marks say is kept, and the marks are not looked at."""
     pieces, start, fixed, at, gone = [], [], {}, 0, 0
     for m in _DENSE_GAP.finditer(par):
@@ -555,32 +738,44 @@ def _unmarked_ends(par: str, marked: set[int], letters: Chain) -> list[int]:
     pieces.append(par[at:])
     start.append((at - gone, at))
     own, ends, k = "".join(pieces), [], 0
+    own_scores, step = scores[own], letters.edge(["step"])
     for run in _DENSE_RUN.finditer(own):
         inner = range(run.start() + 1, run.end())
-        tags = letters.decode([letters.score(_around(own, i)) for i in inner], [["step"]] * len(inner), [fixed.get(i) for i in inner])
-        for i, cut in zip(inner, tags):
+        tags = letters._best(own_scores[run.start() + 1 : run.end()], itertools.repeat(step), [fixed.get(i) for i in inner])
+        for i in itertools.compress(inner, tags):
             while k + 1 < len(start) and start[k + 1][0] <= i:
                 k += 1
-            if cut and i not in fixed:
+            if i not in fixed:
                 ends.append(start[k][1] + i - start[k][0])
     return ends
 
 
-def sentence_spans(text: str | None, marks: Chain, letters: Chain | None = None) -> list[tuple[int, int]]:
-    """(first, last) character of each sentence, from 1."""
+def _marked_ends(par: str, marks: Chain) -> list[int]:
+    """Ends at marks and at blanks between letters of Thai."""
+    w = marks.weights.__getitem__
+    found = [(end, *marks.place(context)[:2], None) for end, context in _contexts(par)]
+    if gaps := _thai_gaps(par):
+        found = sorted([*found, *((at, [marks.slot("thai-gap")], [], 1) for at in gaps)], key=operator.itemgetter(0))
+    trans = [tuple(map(w, es[0])) if len(es) == 1 else tuple(map(sum, zip(*[map(w, e) for e in es]))) or (0.0, 0.0, 0.0) for _, _, es, _ in found]
+    tags = marks._best([sum(map(w, fs)) for _, fs, _, _ in found], trans, [sure for *_, sure in found])
+    return [end for (end, *_), cut in zip(found, tags) if cut]
+
+
+def sentence_spans(text: str | None, marks: Chain, letters: Chain | None = None, scores: dict[str, list[float]] | None = None) -> list[tuple[int, int]]:
+    """(first, last) character of each sentence, from 1; ``scores`` are those of ``_letter_scores``, where many texts share a call."""
     if not text or text.isspace():
         return []
+    if letters is not None and scores is None:
+        scores = _letter_scores([text], letters)
     out: list[tuple[int, int]] = []
     at = 0
     for m in [*_BREAK.finditer(text), None]:
         stop = m.start() if m else len(text)
         par = text[at:stop]
         if par and not par.isspace():
-            found = choices(par, marks.words)
-            tags = marks.decode([marks.score(c.features) for c in found], [c.edges for c in found], [c.label if c.features == ["thai-gap"] else None for c in found])
-            ends = [c.end for c, cut in zip(found, tags) if cut]
-            if letters is not None and _DENSE_PAIR.search(par):
-                ends += _unmarked_ends(par, set(ends), letters)
+            ends = _marked_ends(par, marks)
+            if letters is not None and not par.isascii() and _DENSE_PAIR.search(par):
+                ends += _unmarked_ends(par, set(ends), letters, scores)
             begin = 0
             for end in [*sorted(set(ends)), len(par)]:
                 body = par[begin:end]
@@ -669,11 +864,14 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
         for batch in batches:
             rows, first, last = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for a, b in sentence_spans(text, marks, letters):
-                    rows.append(i)
-                    first.append(a)
-                    last.append(b)
+            texts = enumerate(batch.column(1).to_pylist())
+            while some := list(itertools.islice(texts, 200)):
+                scores = _letter_scores([text for _, text in some], letters)
+                for i, text in some:
+                    for a, b in sentence_spans(text, marks, letters, scores):
+                        rows.append(i)
+                        first.append(a)
+                        last.append(b)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(first, pa.int64()), pa.array(last, pa.int64())], [id_col, "start_pos", "end_pos"]
             )
